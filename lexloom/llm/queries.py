@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .secrets import op7_secret_scan
+from .token_store import op6_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_token_store": op6_token_store,
+    "op7_secret_scan": op7_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
