@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .quality import OP10_SQL, op10_quality_rules
 from .secrets import op7_secret_scan
 from .token_store import op6_token_store
+from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op6_token_store": op6_token_store,
     "op7_secret_scan": op7_secret_scan,
+    "op9_url_filter": op9_url_filter,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
+}
