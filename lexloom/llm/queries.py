@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .near_dup import op8_near_dup
 from .quality import OP10_SQL, op10_quality_rules
 from .secrets import op7_secret_scan
 from .token_store import op6_token_store
@@ -16,11 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op6_token_store": op6_token_store,
     "op7_secret_scan": op7_secret_scan,
+    "op8_near_dup": op8_near_dup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_near_dup": op8_near_dup,
     "op9_url_filter": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }
