@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
+from .decontaminate import op5_decontaminate
 from .near_dup import op8_near_dup
 from .quality import OP10_SQL, op10_quality_rules
 from .secrets import op7_secret_scan
@@ -15,6 +16,7 @@ from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_store": op6_token_store,
     "op7_secret_scan": op7_secret_scan,
     "op8_near_dup": op8_near_dup,
