@@ -155,21 +155,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return only(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode and decode in one pass, keeping digests: doc_id, n_tokens, ids_sha256, decoded_sha256, round_trips.
+def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, digests ids_sha256 and decoded_sha256, round_trips, and on demand ids.
 
     Null and empty texts have no tokens; repeated rows give repeated results; a null doc_id stays null;
     columns besides doc_id and text are ignored. One narrow pass, no shuffle; the cache is bounded.
     """
     import pyarrow as pa
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trips boolean"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trips boolean" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         bpe = load(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            n, ids, back, same = [], [], [], []
+            n, ids, back, same, kept = [], [], [], [], []
             for text in b.column(1):
                 text = text.as_py() or ""
                 packed = bpe.pack(text)
@@ -178,7 +180,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids.append(sha(packed))
                 back.append(sha(raw))
                 same.append(raw == text.encode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"])
+                if keep_ids:
+                    kept.append(np.frombuffer(packed, "<i4"))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"]
+            if keep_ids:
+                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
 
