@@ -99,7 +99,8 @@ def tag_group(tag: Column) -> Column:
 def pos_ratios(tags: DataFrame) -> DataFrame:
     """gram and the share of each tag group among a pattern's tags (gram, tags)."""
     groups = F.transform(F.split("tags", " "), tag_group)
-    return tags.withColumn("g", groups).select("gram", *[(F.size(F.filter("g", lambda x, k=k: x == k)) / F.size("g")).alias(f"pos_{k.lower()}") for k in GROUP_NAMES])
+    share = lambda k: F.size(F.filter("g", lambda x: x == F.lit(k))) / F.size("g")
+    return tags.withColumn("g", groups).select("gram", *[share(k).alias(f"pos_{k.lower()}") for k in GROUP_NAMES])
 
 
 def tag_bigrams(tags: DataFrame, buckets: list[tuple[str, str]]) -> DataFrame:

@@ -1,6 +1,373 @@
-"""The registered queries of the phrase-mining engine and their SQL."""
+"""The registered queries of the phrase-mining engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as fn
+from ..operators import annotate, deptree, evaluate, features, flags, labels, mentions, mining, quality, rank, segment, supervise, tuples, vocab
+from . import oracle, train
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sents(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.sentences(_table(spark, d, "documents"))
+
+
+def _toks(spark: SparkSession, d: str) -> DataFrame:
+    return annotate.tokens(_sents(spark, d))
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _scored(patterns: DataFrame) -> DataFrame:
+    """patterns with a stand-in for the forest's output that SQL can compute too: completeness and frequency as quality, class by frequency."""
+    c = features.completeness(patterns).select("gram", "complete_sub")
+    q = F.when(F.col("n") > 1, F.col("complete_sub")).otherwise((F.col("freq") % 100) / 100.0)
+    i = F.element_at(F.array(*map(F.lit, quality.INDICATORS)), (F.col("freq") % 3 + 1).cast("int"))
+    return patterns.join(c, "gram").select("gram", "n", "freq", F.round(q, 6).alias("quality"), i.alias("indicator"))
+
+
+@query
+def ngram_mining(spark, d):
+    return mining.frequent_grams(_sents(spark, d))
+
+
+@query
+def tag_ngram_mining(spark, d):
+    return mining.frequent_tag_grams(_sents(spark, d))
+
+
+@query
+def vocab_first_seen(spark, d):
+    return vocab.first_seen_ids(_toks(spark, d))
+
+
+@query
+def encode_sentences(spark, d):
+    toks = _toks(spark, d)
+    known = vocab.first_seen_ids(toks.join(toks.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token"))
+    return vocab.encoded(toks, known).select("sent_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query
+def case_codes(spark, d):
+    return _toks(spark, d).groupBy("surface").agg(F.count("*").alias("n")).withColumn("code", fn.case_code(F.col("surface")))
+
+
+@query
+def token_flags(spark, d):
+    return flags.token_flags(_toks(spark, d)).groupBy("token").agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("int")).alias(c) for c in flags.NAMES])
+
+
+@query
+def idf(spark, d):
+    return _rounded(vocab.idf(_toks(spark, d)), 6, "idf")
+
+
+@query
+def pos_prune_mining(spark, d):
+    return mining.unpruned_grams(_sents(spark, d), ("DT", ".", "IN"), (".", "CC", "DT"), 3).groupBy("gram", "n").agg(F.count("*").alias("freq")).where("freq >= 10")
+
+
+@query
+def first_tags(spark, d):
+    s = _sents(spark, d)
+    return mining.first_tags(s, mining.frequent_grams(s, max_len=3), 3)
+
+
+@query
+def occurrences(spark, d):
+    s = _sents(spark, d)
+    return mining.occurrences(s, mining.frequent_grams(s, max_len=3), 3).where("n > 1").drop("n")
+
+
+@query
+def external_patterns(spark, d):
+    s = _sents(spark, d)
+    return mining.with_external(mining.frequent_grams(s, max_len=3), mentions.external_patterns(mentions.noun_chunks(s)), max_len=3)
+
+
+@query
+def pmi_split(spark, d):
+    s = _sents(spark, d)
+    p = features.with_probability(mining.frequent_grams(s, max_len=4), annotate.tokens(s))
+    return _rounded(_rounded(features.best_split(p), 4, "f1", "f4"), 6, "f2")
+
+
+@query
+def context_outside(spark, d):
+    s = _sents(spark, d)
+    t = annotate.tokens(s)
+    return _rounded(features.context_outside(mining.occurrences(s, mining.frequent_grams(s, max_len=3), 3), t, vocab.idf(t)), 5, "outside")
+
+
+@query
+def punct_ratios(spark, d):
+    s = _sents(spark, d)
+    o = mining.occurrences(s, mining.frequent_grams(s, max_len=2), 2).where("n > 1")
+    return _rounded(features.punctuation_ratios(o, flags.token_flags(annotate.tokens(s))).drop("n", "all_cap"), 6, "quote", "dash", "parenthesis", "first_cap")
+
+
+@query
+def stopword_features(spark, d):
+    s = _sents(spark, d)
+    return _rounded(features.stopword_features(mining.frequent_grams(s, max_len=3), vocab.idf(annotate.tokens(s))).drop("n"), 6, "stop_ratio", "avg_idf")
+
+
+@query
+def completeness(spark, d):
+    return _rounded(features.completeness(mining.frequent_grams(_sents(spark, d), max_len=4)), 6, "complete_sub", "complete_super")
+
+
+@query
+def pos_ratios(spark, d):
+    t = features.pos_ratios(first_tags(spark, d))
+    return _rounded(t, 6, *t.columns[1:])
+
+
+@query
+def tag_bigram_features(spark, d):
+    return features.tag_bigrams(first_tags(spark, d), [("DT", "NN"), ("NN", "IN"), ("JJ", "NN")])
+
+
+@query
+def unigram_features(spark, d):
+    s = _sents(spark, d)
+    t, p = annotate.tokens(s), mining.frequent_grams(s, max_len=2)
+    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p, 2))
+    return _rounded(f, 6, *[c for c in f.columns if c not in ("gram", "stop")])
+
+
+@query
+def distant_labels(spark, d):
+    p = mining.frequent_grams(_sents(spark, d), max_len=3)
+    return labels.distant_labels(p, p.where("freq % 3 = 0"), p.where("freq % 2 = 0")).select("gram", "label")
+
+
+@query
+def label_cap(spark, d):
+    return labels.capped(mining.frequent_grams(_sents(spark, d), max_len=3).where("freq % 3 = 0"), 100, F.md5("gram")).select("gram")
+
+
+@query
+def length_sample(spark, d):
+    return labels.sampled_by_length(mining.frequent_grams(_sents(spark, d), max_len=4), 500, F.md5("gram")).select("gram", "n")
+
+
+@query
+def length_share(spark, d):
+    return _rounded(quality.length_share(mining.frequent_grams(_sents(spark, d), max_len=4)).drop("freq"), 9, "share")
+
+
+@query
+def length_penalty_score(spark, d):
+    p = quality.length_share(_scored(mining.frequent_grams(_sents(spark, d), max_len=3)))
+    return _rounded(quality.length_penalised(p, 2.0).select("gram", "score"), 5, "score")
+
+
+@query
+def quality_filter(spark, d):
+    p = _scored(mining.frequent_grams(_sents(spark, d), max_len=4))
+    n, f, q, i = (F.col(c) for c in ("n", "freq", "quality", "indicator"))
+    return p.select("gram", quality.trie_eligible(n, f).alias("eligible"), quality.passes_quality_trie(n, q, i).alias("in_trie"), quality.passes_output(n, q).alias("in_output"), quality.passes_output(n, q, i).alias("in_tuples"))
+
+
+@query
+def ranking_lists(spark, d):
+    return quality.ranked(_scored(mining.frequent_grams(_sents(spark, d), max_len=4))).select("bucket", "gram", "quality", "rank")
+
+
+@query
+def rescaled_top(spark, d):
+    return _rounded(quality.rescaled_top(_scored(mining.frequent_grams(_sents(spark, d), max_len=3)), 300).select("gram", "quality"), 6, "quality")
+
+
+@query
+def model_counts(spark, d):
+    return quality.model_counts(_scored(mining.frequent_grams(_sents(spark, d), max_len=4)))
+
+
+@query
+def unigram_overrides(spark, d):
+    s = _sents(spark, d)
+    p = mining.frequent_grams(s, max_len=1)
+    return quality.unigram_overrides(_scored(p).join(mining.first_tags(s, p, 1), "gram")).select("gram", "indicator", "quality")
+
+
+@query
+def tag_transitions(spark, d):
+    return _rounded(quality.tag_transitions(_toks(spark, d)).withColumn("disconnect", 1 - F.col("p")), 6, "p", "disconnect")
+
+
+@query
+def bridged_transitions(spark, d):
+    return quality.bridged_transitions(_toks(spark, d))
+
+
+@query
+def noun_tag_patterns(spark, d):
+    return supervise.noun_tag_patterns(tag_ngram_mining(spark, d)).select("gram", "freq")
+
+
+@query
+def np_chunks(spark, d):
+    return mentions.noun_chunks(_sents(spark, d))
+
+
+@query
+def entity_counts(spark, d):
+    return supervise.frequent_phrases(np_chunks(spark, d))
+
+
+@query
+def frequency_bands(spark, d):
+    return supervise.frequency_bands(np_chunks(spark, d))
+
+
+@query
+def relation_phrases(spark, d):
+    s = _sents(spark, d)
+    return supervise.frequent_phrases(supervise.relation_phrases(s, supervise.mention_pairs(mentions.noun_chunks(s))))
+
+
+@query
+def dictionary_link(spark, d):
+    s = _sents(spark, d)
+    return supervise.linked_by_dictionary(s, mining.frequent_grams(s, max_len=3).where("n > 1 AND freq % 3 = 0"), 3)
+
+
+@query
+def seed_link(spark, d):
+    s = _sents(spark, d).withColumn("doc_id", F.floor(F.col("sent_id") / annotate.SENT))
+    sim = F.lit(0.7) + (F.col("doc_id") % 4) * 0.1
+    seeds = s.where((F.col("sent_id") % annotate.SENT == 0) & (F.size("tokens") > 1)).select(F.col("doc_id").alias("doc"), F.array_join(F.slice("tokens", 1, 2), " ").alias("surface"), F.round(sim, 1).alias("sim"), F.when(F.col("doc_id") % 2 == 0, 0.0001).otherwise(0.01).alias("second_rank"))
+    return supervise.linked_by_seed(s, seeds, 3)
+
+
+def _phrase_sets(spark, d):
+    c = np_chunks(spark, d)
+    sets = lambda x: x.groupBy("sent_id").agg(F.collect_set("text").alias("phrases"))
+    return sets(c), sets(c.where("n > 1"))
+
+
+@query
+def mention_sets_diff(spark, d):
+    return evaluate.differences(*_phrase_sets(spark, d)).select("sent_id", F.array_join("only_a", "|").alias("only_a"), F.array_join("only_b", "|").alias("only_b"))
+
+
+@query
+def mention_prf(spark, d):
+    gold, pred = _phrase_sets(spark, d)
+    return _rounded(evaluate.micro_counts(pred, gold), 6, "precision", "recall", "f1")
+
+
+@query
+def translation_rank(spark, d):
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    first = e.select(F.size("vec").alias("n")).first()
+    t = e.select(F.col("key").alias("tuple_id"), F.col("key").alias("subj"), (F.col("key") + 1).alias("obj"), F.array(F.col("key") + 2, F.col("key") + 3, F.lit(-1).cast("long")).alias("rels"))
+    return _rounded(rank.translation_scores(t, e, e, first.n if first else 0), 4, "score")
+
+
+@query
+def ordered_merge(spark, d):
+    c = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), "text", "role")
+    return rank.ordered_merge(c.where("role = 'user'").drop("role"), c.where("role <> 'user'").drop("role"))
+
+
+@query
+def underscored_phrases(spark, d):
+    p = mining.frequent_grams(_sents(spark, d), max_len=3)
+    phrase = fn.underscored(F.col("gram"))
+    return p.select("gram", phrase.alias("phrase"), fn.adjusted_score(F.col("freq").cast("double"), phrase, parts=2).alias("score"), F.array_join(fn.with_index(F.split("gram", " ")), " ").alias("indexed"), fn.ascii_only(F.col("gram")).alias("ascii"))
+
+
+@query
+def verbal_tuples(spark, d):
+    t = first_tags(spark, d).where(F.size(F.split("gram", " ")) == 3)
+    return rank.verbal_tuples(t.select(F.get(F.split("gram", " "), 0).alias("subj"), F.get(F.split("gram", " "), 2).alias("obj"), F.get(F.split("tags", " "), 1).alias("rel_tags")))
+
+
+@query
+def linked_types(spark, d):
+    p = _table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/]*)", 1).alias("kb_id"), F.regexp_extract("url", "://[^/]*/([a-z]+)", 1).alias("type"))
+    out = supervise.linked_types(p.select(F.col("page_id").alias("doc"), F.col("url").alias("uri"), F.col("kb_id").alias("surface")), p.select(F.col("url").alias("uri"), "kb_id").distinct(), p.select("kb_id", "type").distinct())
+    return out.withColumn("types", F.array_join("types", " "))
+
+
+@query
+def sentence_split(spark, d):
+    s = _table(spark, d, "documents").select("doc_id", fn.sentences_of(F.col("text")).alias("l"))
+    return s.select("doc_id", F.size("l").cast("long").alias("n_sentences"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+def _segmented(spark, d):
+    s = _sents(spark, d)
+    p = quality.length_share(_scored(mining.frequent_grams(s, max_len=3)))
+    return p, segment.segmented(s, segment.scored_patterns(p), veto=False)
+
+
+@query
+def viterbi_segments(spark, d):
+    _, done = _segmented(spark, d)
+    said = F.array_join(F.transform("segments", lambda x: F.concat_ws("-", x["st"].cast("string"), (x["ed"] + 1).cast("string"))), " ")
+    return done.select("sent_id", F.round("score", 4).alias("score"), said.alias("segments"))
+
+
+@query
+def rectified_freq(spark, d):
+    p, done = _segmented(spark, d)
+    return segment.rectified_frequency(p, segment.segments(done)).select("gram", "n", "freq")
+
+
+@query
+def subtree_priors(spark, d):
+    s = train.with_heads(_sents(spark, d))
+    return deptree.initial_priors(deptree.shape_totals(s, 3))
+
+
+@query
+def forest_quality(spark, d):
+    s = _sents(spark, d)
+    t, p = annotate.tokens(s), mining.frequent_grams(s, max_len=2)
+    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p, 2))
+    columns = [c for c in f.columns if c != "gram"]
+    model = quality.forest(f, labels.distant_labels(p, p.where("freq % 3 = 0"), p.where("freq % 2 = 0")), columns, num_trees=20, max_depth=10)
+    return quality.predicted(model, f, columns)
+
+
+def _with_mentions(spark, d):
+    s = train.with_heads(_sents(spark, d))
+    chunks = mentions.noun_chunks(s).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("st", "text"))).alias("a")).select("sent_id", F.transform("a", lambda x: x["text"]).alias("phrases"))
+    return s.join(mentions.extract_mentions(s, chunks), "sent_id")
+
+
+@query
+def extract_mentions(spark, d):
+    return _with_mentions(spark, d).select("sent_id", mentions.as_positions(F.col("mentions")).alias("positions"), F.size("mentions").alias("n"))
+
+
+@query
+def dep_tuples(spark, d):
+    s = _with_mentions(spark, d)
+    p = quality.length_share(_scored(mining.frequent_grams(s, max_len=3)))
+    relations = dict(map(tuple, segment.scored_patterns(p, tuple_mode=True).select("gram", "score").collect()))
+    kept = {r.gram for r in p.where(quality.passes_output(F.col("n"), F.col("quality"), F.col("indicator"))).select("gram").collect()}
+    return tuples.tuple_lines(tuples.assemble(tuples.dependency_paths(s), s, relations, kept))
