@@ -122,15 +122,17 @@ def judge(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOC
 
 def kept_documents(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """The table's kept rows with its columns; frequent lines are out of text, and n_chars (if there) is counted anew."""
-    verdict = judge(docs, max_share, min_docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_key").alias("_key"), "frequent").dropDuplicates(["_id", "_host", "_key"])
+    verdict = judge(docs, max_share, min_docs).where("kept").select("doc_id", "host", "text_key", "frequent").dropDuplicates(["doc_id", "host", "text_key"])
     full = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_k": _key(full), "_h": F.coalesce(F.col("source").cast("string"), F.lit("\0"))})
-    on = keyed["doc_id"].cast("long").eqNullSafe(verdict["_id"]) & (keyed["_h"] == verdict["_host"]) & (keyed["_k"] == verdict["_key"])
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x: ~F.array_contains(F.col("frequent"), _key(_normalised(x)))), "\n")
-    out = keyed.join(verdict, on).withColumn("text", F.when(F.col("frequent").isNull(), F.col("text")).otherwise(left))
+    # the row travels as one column, so that its names meet no others
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _key(full).alias("k"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("h"))
+    on = keyed["id"].eqNullSafe(verdict["doc_id"]) & (keyed["h"] == verdict["host"]) & (keyed["k"] == verdict["text_key"])
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains(F.col("frequent"), _key(_normalised(x)))), "\n")
+    out = keyed.join(verdict, on).select("row", F.when(F.col("frequent").isNull(), F.col("row.text")).otherwise(left).alias("now"))
+    new = {"text": F.col("now").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.char_length("now").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
