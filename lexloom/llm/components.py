@@ -10,11 +10,12 @@ from .common import written
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hands its larger (large) or its smaller (small) neighbours to the least of its neighbourhood.
 
-    The least comes from an aggregate joined back, so a node with very many neighbours is never one task's group.
+    The least is a written aggregate joined back: both sides of the join are dealt anew, so that a node with very
+    many neighbours is split among tasks.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(both.select(F.col("v"), F.col("u"))) if large else both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -161,7 +161,8 @@ def linked(sets: list, percent: int) -> list[int]:
 
 def _compared(units: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b: each set of a unit with the least rep of its component there. units: unit, rep, set_key."""
-    texts = docs.join(units, docs["doc_id"] == units["rep"]).select("unit", "rep", "set_key", "text")
+    # merged at every size: which texts travel, and how, does not depend on how many units there are
+    texts = docs.join(units.hint("merge"), docs["doc_id"] == units["rep"]).select("unit", "rep", "set_key", "text")
 
     def run(t):
         import pyarrow as pa
