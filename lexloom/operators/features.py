@@ -35,7 +35,7 @@ def best_split(patterns: DataFrame) -> DataFrame:
     side = lambda s: patterns.select(F.col("gram").alias(f"{s}_gram"), F.col("freq").alias(f"{s}_freq"), F.col("prob").alias(f"{s}_prob"))
     both = halves.join(side("left"), "left_gram").join(side("right"), "right_gram").withColumn("p", F.col("left_prob") * F.col("right_prob"))
     top = both.groupBy("gram").agg(F.max_by(F.struct("freq", "prob", "p", "left_freq", "right_freq"), F.struct("p", -F.col("cut"))).alias("b"))
-    f1 = F.col("b.prob") / F.col("b.p")
+    f1 = F.try_divide("b.prob", "b.p")
     return top.select("gram", f1.alias("f1"), (F.col("b.freq") / F.sqrt(F.col("b.left_freq") + EPSILON) / F.sqrt(F.col("b.right_freq") + EPSILON)).alias("f2"), (F.col("b.freq") * F.log(f1)).alias("f4"))
 
 
@@ -86,7 +86,7 @@ def completeness(patterns: DataFrame) -> DataFrame:
     above = longer.groupBy("gram").agg(F.max("freq").alias("super_freq"))
     parts = patterns.where("n > 1").select(F.col("gram").alias("whole"), F.explode(F.array(F.array_join(F.slice(w, 1, F.col("n") - 1), " "), F.array_join(F.slice(w, 2, F.col("n") - 1), " "))).alias("gram"))
     below = parts.join(patterns.select("gram", "freq"), "gram").groupBy(F.col("whole").alias("gram")).agg(F.max("freq").alias("sub_freq"))
-    return patterns.join(above, "gram", "left").join(below, "gram", "left").select("gram", "n", F.when(F.col("n") > 1, F.col("freq") / F.greatest("freq", F.coalesce("sub_freq", F.lit(0)))).alias("complete_sub"), (F.coalesce("super_freq", F.lit(0)) / F.col("freq")).alias("complete_super"))
+    return patterns.join(above, "gram", "left").join(below, "gram", "left").select("gram", "n", F.when(F.col("n") > 1, F.coalesce(F.try_divide(F.col("freq"), F.greatest("freq", F.coalesce("sub_freq", F.lit(0)))), F.lit(0.0))).alias("complete_sub"), F.coalesce(F.try_divide(F.coalesce("super_freq", F.lit(0)), F.col("freq")), F.lit(0.0)).alias("complete_super"))
 
 
 def tag_group(tag: Column) -> Column:
