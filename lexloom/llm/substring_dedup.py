@@ -6,8 +6,8 @@ that minimiser, so that equal windows always meet. There the windows of the buck
 128-bit hash and each learns the least doc_id in which it starts. An occurrence in a later document marks
 the words of the window for removal.
 
-Strings that repeat within a block of texts are sent once with at most ``listed`` occurrences; of more, the
-least and greatest doc_id go along. What the bucket finds about such a string returns by its hash to the
+A block of texts sends each of its buckets one compressed row. Strings that repeat within a block are in it
+once with at most ``listed`` occurrences; of more, the least and greatest doc_id go along. What the bucket finds about such a string returns by its hash to the
 occurrences, in a join whose large keys Spark splits. So a passage that a third of all documents share costs
 its bucket a row a block, not a row a document.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import chunks, collect_garbage, only, parts, table, window_hashes, written
 
-DEFAULTS = {"window": 13, "minimiser": 3, "listed": 8, "block_bytes": 4 << 20, "bucket_words": 1_500_000}
+DEFAULTS = {"window": 13, "minimiser": 3, "listed": 8, "block_bytes": 4 << 20, "buckets": 16}
 
 
 def _sliding_min(x, width: int):
@@ -91,13 +91,15 @@ def _blocks(batches: Iterator, o: dict):
 
 
 def packed(docs: DataFrame, o: dict) -> DataFrame:
-    """key, data: the super-k-mers of each block once: count and flag, (least, greatest doc_id,) occurrences, string."""
+    """bucket, data: a block's super-k-mers of a bucket, compressed. Of each: length, count and flag, (least, greatest doc_id,) occurrences, string."""
+    buckets = parts(docs.sparkSession, o["buckets"])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        listed = o["listed"]
+        listed, squeeze = o["listed"], zstandard.ZstdCompressor(level=3).compress
         for ids, key, pos, _, strings, order, starts in _blocks(batches, o):
             ends = np.append(starts[1:], len(order))
             occurrence = np.zeros(len(order), [("d", "<i8"), ("p", "<u4")])
@@ -106,13 +108,19 @@ def packed(docs: DataFrame, o: dict) -> DataFrame:
             low = np.minimum.reduceat(ids[order], starts).tolist()
             high = np.maximum.reduceat(ids[order], starts).tolist()
             for a, e, lo, hi, first in zip(starts.tolist(), ends.tolist(), low, high, order[starts].tolist()):
+                s = strings[first]
                 if e - a <= listed:
-                    out.append(bytes((e - a,)) + raw[12 * a : 12 * e] + strings[first])
+                    out.append(struct.pack("<IB", len(s) + 12 * (e - a) + 1, e - a) + raw[12 * a : 12 * e] + s)
                 else:
-                    out.append(bytes((128 + listed,)) + struct.pack("<qq", lo, hi) + raw[12 * a : 12 * (a + listed)] + strings[first])
-            yield pa.RecordBatch.from_arrays([pa.array(key[order[starts]].view(np.int64)), pa.array(out, pa.binary())], ["key", "data"])
+                    out.append(struct.pack("<IBqq", len(s) + 12 * listed + 17, 128 + listed, lo, hi) + raw[12 * a : 12 * (a + listed)] + s)
+            bucket = (key[order[starts]] % np.uint64(buckets)).astype(np.int32)
+            dealt = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[dealt])) + 1
+            groups = [dealt[a:e] for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(dealt)])]
+            rows = [squeeze(b"".join([out[i] for i in g.tolist()])) for g in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[[g[0] for g in groups]]), pa.array(rows, pa.binary())], ["bucket", "data"])
 
-    return docs.mapInArrow(run, "key long, data binary")
+    return docs.mapInArrow(run, "bucket int, data binary")
 
 
 def _resolve(rows: list[bytes], o: dict):
@@ -181,8 +189,8 @@ def in_buckets(rows: DataFrame, o: dict) -> DataFrame:
     spark = rows.sparkSession
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
+        import zstandard
 
         def said(held):
             (doc, first, past), told = _resolve(held, o)
@@ -194,24 +202,22 @@ def in_buckets(rows: DataFrame, o: dict) -> DataFrame:
                 ["doc_id", "first", "past", "string", "least"],
             )
 
-        held, size, at = [], 0, None
+        held, at = [], None
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            keys = b.column(0).to_numpy()
-            data = b.column(1).to_pylist()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                if hi <= lo:
-                    continue
-                if keys[lo] != at and size > o["bucket_words"] * 6:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != at and held:
                     yield said(held)
-                    held, size = [], 0
-                at = keys[lo]
-                held += data[lo:hi]
-                size += sum(map(len, data[lo:hi]))
+                    held = []
+                at, data, i = bucket, expand(data), 0
+                while i < len(data):
+                    n = int.from_bytes(data[i : i + 4], "little")
+                    held.append(data[i + 4 : i + 4 + n])
+                    i += 4 + n
         if held:
             yield said(held)
 
-    return rows.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
+    return rows.repartition(parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(run, _FOUND)
 
 
 def unlisted(docs: DataFrame, o: dict) -> DataFrame:
