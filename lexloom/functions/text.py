@@ -8,6 +8,11 @@ from pyspark.sql import Column, functions as F
 TOKEN = r"([\p{L}\p{N}]+|[^\p{L}\p{N}\s])"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, even where body uses it for every element of something else."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokenize(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(TOKEN), F.lit(1))
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_punctuation, tokenize
+from ..functions.text import is_punctuation, let, tokenize
 
 #: Fixed word lists of the rule tagger.
 DETERMINERS = ("the", "a", "an", "this", "that", "le", "la", "les", "un", "une", "der", "die", "das", "el", "los", "las")
@@ -59,19 +59,22 @@ def rule_heads(tags: Column) -> Column:
     """Heads (1-based, 0 the root) of a sentence: the last noun (else the first token) is the root; before it a token
     depends on the nearest noun after it, behind it on the token before. One root, no cycles."""
     nouns = F.filter(F.transform(tags, lambda t, i: F.when(t.startswith("NN"), i + 1)), lambda i: i.isNotNull())
-    root = F.coalesce(F.try_element_at(nouns, F.lit(-1)), F.lit(1))
 
-    def head(t, i):
-        nxt = F.try_element_at(F.filter(nouns, lambda n: n > i + 1), F.lit(1))
-        return F.when(i + 1 == root, 0).when(i + 1 > root, i).otherwise(F.coalesce(nxt, root))
+    def heads(ns: Column, root: Column) -> Column:
+        after = lambda i: F.try_element_at(F.filter(ns, lambda n: n > i + 1), F.lit(1))
+        return F.transform(tags, lambda t, i: F.when(i + 1 == root, 0).when(i + 1 > root, i).otherwise(F.coalesce(after(i), root)))
 
-    return F.transform(tags, head)
+    return let(nouns, lambda ns: let(F.coalesce(F.try_element_at(ns, F.lit(-1)), F.lit(1)), lambda root: heads(ns, root)))
 
 
 def rule_dependencies(tags: Column) -> Column:
     """Dependencies of a sentence: nouns before a verb are its subjects, nouns behind one objects, else dep."""
-    kind = lambda t, i: F.when(t.startswith("NN") & F.exists(F.slice(tags, i + 2, 3), lambda x: x.startswith("VB")), "nsubj").when(t.startswith("NN") & (i > 0) & F.exists(F.slice(tags, F.greatest(i - 1, F.lit(1)), 2), lambda x: x.startswith("VB")), "dobj").otherwise("dep")
-    return F.transform(F.arrays_zip(rule_heads(tags).alias("h"), tags.alias("t")), lambda x, i: F.struct(i.alias("idx"), x["h"].alias("head"), F.when(x["h"] == 0, "root").otherwise(kind(x["t"], i)).alias("type")))
+
+    def within(g: Column) -> Column:
+        kind = lambda t, i: F.when(t.startswith("NN") & F.exists(F.slice(g, i + 2, 3), lambda x: x.startswith("VB")), "nsubj").when(t.startswith("NN") & (i > 0) & F.exists(F.slice(g, F.greatest(i - 1, F.lit(1)), 2), lambda x: x.startswith("VB")), "dobj").otherwise("dep")
+        return F.transform(F.arrays_zip(rule_heads(g).alias("h"), g.alias("t")), lambda x, i: F.struct(i.alias("idx"), x["h"].alias("head"), F.when(x["h"] == 0, "root").otherwise(kind(x["t"], i)).alias("type")))
+
+    return let(tags, within)
 
 
 def parsed_dependency(x: Column) -> Column:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+
 MIN_SUP, MAX_LEN = 10, 5
 
 
 def spans(words: Column, max_len: int) -> Column:
     """(n, st, gram) of all n-grams of an array, n up to max_len; a gram is its words joined by blanks."""
-    of = lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.struct(n.alias("n"), i.alias("st"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), F.size(words))), of))
+
+    def within(w: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(n.alias("n"), i.alias("st"), F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(max_len), F.size(w))), of))
+
+    return let(words, within)
 
 
 def all_grams(sents: DataFrame, max_len: int = MAX_LEN, words: str = "tokens") -> DataFrame:
