@@ -80,31 +80,21 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.spm = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.mapped = {b: c for b, c in enumerate(byte_characters())}
-        self.known: dict[str, bytes] = {}
         self.cache = PieceCache(self._encode_pieces)
 
-    def _learn(self, tokens: list[str]) -> None:
-        """Encode pre-tokens that are not known yet, in one call of the library."""
-        if len(self.known) + len(tokens) > self.cache.max_entries:
-            self.known.clear()
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        found = [self.find(p) for p in pieces]
+        distinct = dict.fromkeys(t for tokens in found for t in tokens)
         long = []
-        for t in tokens:
+        for t in distinct:
             raw = t.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.known[t] = struct.pack("<I", whole)
+                distinct[t] = struct.pack("<I", whole)
             else:
                 long.append((t, raw.decode("latin-1").translate(self.mapped)))
         for (t, _), ids in zip(long, self.spm.encode([m for _, m in long], num_threads=1) if long else ()):
-            self.known[t] = struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids])
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [self.find(p) for p in pieces]
-        known = self.known
-        if new := [t for t in dict.fromkeys(t for tokens in found for t in tokens) if t not in known]:
-            kept = {t: known[t] for tokens in found for t in tokens if t in known} if len(known) + len(new) > self.cache.max_entries else {}
-            self._learn(new)
-            known.update(kept)
-        return [b"".join([known[t] for t in tokens]) for tokens in found]
+            distinct[t] = struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids])
+        return [b"".join([distinct[t] for t in tokens]) for tokens in found]
 
     def pack(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -1,9 +1,10 @@
-"""Cached encoding of texts cut at blanks.
+"""Cached encoding of texts cut where no token can cross.
 
 In the byte-level pre-tokenisation pattern a blank can only open a match or lie in a run of white
-space, so a text may be cut before every blank that a non-blank character follows: no match crosses
-such a cut, and each piece, seen alone, gives the matches that it gives inside the text. Words repeat,
-so nearly all pieces are answered from a bounded cache.
+space, so a text may be cut before every blank that a non-blank character follows. It may also be cut
+between a letter or digit and the full stop or comma that ends a word, and around a line end between
+characters. Each piece, seen alone, gives the matches that it gives inside the text. Words repeat, so
+nearly all pieces are answered from a bounded cache.
 """
 
 from __future__ import annotations
@@ -12,35 +13,53 @@ import re
 from collections.abc import Callable
 
 #: Python's white space contains that of both tokenizer libraries, so the character after a cut is no white space for any of them.
-_CUT = re.compile(r" (?=\S)")
-#: Where a plain split at blanks would cut elsewhere.
+_CUT = re.compile(r"(?= \S)")
+#: A blank before white space or the end; the cuts at all blanks would be others.
 _ODD = re.compile(r" (?!\S)")
+#: A full stop or comma at a word's end that follows neither letter nor digit: it may belong to a longer run. A line end before white space.
+_RUN = re.compile(r"[.,](?:(?<![^\W_][.,])[ \n]|\n(?!\S))")
+_MARK = "\x00"
 
 
 class PieceCache:
     """Maps pieces to the packed ids of their tokens; ``encode`` is asked for what is not cached.
 
-    max_entries bounds the cache (it is emptied when full), max_chars the length of a cached piece.
+    The cache has two generations of at most ``size`` pieces, so that what is used goes on living; max_chars
+    bounds the pieces kept. Texts that hold ``whole`` (a special token may start so) are cut at blanks only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], max_entries: int = 500_000, max_chars: int = 48):
-        self.encode, self.max_entries, self.max_chars = encode, max_entries, max_chars
-        self.after_blank: dict[str, bytes] = {}  # keys lack the blank they start with
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], size: int = 400_000, max_chars: int = 48, whole: str = "<|"):
+        self.encode, self.size, self.max_chars, self.whole = encode, size, max_chars, whole
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        if _MARK in text or _ODD.search(text):
+            return _CUT.split(text)
+        if self.whole not in text and not _RUN.search(text):
+            text = text.replace(", ", "\x00, ").replace(". ", "\x00. ").replace(".\n", "\x00.\x00\n\x00")
+        return text.replace(" ", "\x00 ").split(_MARK)
 
     def pack(self, text: str) -> bytes:
-        if not text:
-            return b""
-        split = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        get = self.after_blank.get
-        head = self.encode([split[0]])[0] if split[0] else b""
-        out = list(map(get, split[1:]))
+        split = self.pieces(text)
+        out = list(map(self.new.get, split))
         if None in out:
+            old = self.old.get
             missing = [i for i, x in enumerate(out) if x is None]
-            distinct = list(dict.fromkeys(split[i + 1] for i in missing))
-            found = dict(zip(distinct, self.encode([" " + x for x in distinct])))
+            found = {split[i]: None for i in missing}
+            unknown = []
+            for p in found:
+                v = old(p)
+                if v is None:
+                    unknown.append(p)
+                else:
+                    found[p] = v
+            if unknown:
+                found.update(zip(unknown, self.encode(unknown)))
             for i in missing:
-                out[i] = found[split[i + 1]]
-            if len(self.after_blank) + len(found) > self.max_entries:
-                self.after_blank.clear()
-            self.after_blank.update((k, v) for k, v in found.items() if len(k) <= self.max_chars)
-        return head + b"".join(out)
+                out[i] = found[split[i]]
+            if len(self.new) + len(found) > self.size:
+                self.new, self.old = {"": b""}, self.new
+            most = self.max_chars
+            self.new.update((k, v) for k, v in found.items() if len(k) <= most)
+        return b"".join(out)
