@@ -6,10 +6,11 @@ coordinates: its node is the path of its minwise tokens there, so two sets of si
 depth d with chance s^d, and no node is shared in any of t trees with chance (1 - s^d)^t (below 1e-9 at the
 defaults for s = 0.8). Nodes of one set end. The sets that share nodes, directly or through others, form a
 group; a group whose shingles fit ``node_shingles`` is compared exhaustively on full sets. Larger groups are
-compared node by node; nodes that are still too large branch further along coordinates chosen by the node
-(1 / threshold children a level on average, so that pairs at the threshold keep their expected number of
-shared nodes), and what remains large after ``levels`` is dealt into blocks that all hold the node's pivots,
-dealt anew in every tree. Comparison in a node is a breadth-first search that leaves out what is linked
+compared node by node. Nodes too large for that are first branched (further coordinates chosen by the node,
+then blocks that hold the node's pivots), which links most copies cheaply but proves nothing about the rest;
+then the sets of oversized nodes that share members are compared exhaustively, block against block, leaving out
+only pairs that are linked already or whose sizes rule them out. So every pair that shares a node of the first
+levels is settled, whatever the node's size. Comparison is a breadth-first search that leaves out what is linked
 already, so that copies cost a pass each, not all pairs. Every link is confirmed on whole sets.
 """
 
@@ -119,10 +120,11 @@ def _weighed(members: DataFrame) -> DataFrame:
     return members.join(nodes, "path")
 
 
-def linked(sets: list, percent: int) -> list[int]:
+def linked(sets: list, percent: int, label: list | None = None, side: list | None = None) -> list[int]:
     """The index of each set's component within the list (its least index), by breadth-first search.
 
     A set is compared once with all sets that are not linked yet: 100 x intersection >= percent x union.
+    Sets of one label are linked from the start; where there are two sides, only sets of different sides are compared.
     """
     import numpy as np
 
@@ -134,41 +136,51 @@ def linked(sets: list, percent: int) -> list[int]:
     own = [at[start[i] : start[i + 1]] for i in range(n)]
     mark = np.zeros(len(token) if n else 0, bool)
     rest = np.arange(n)  # not linked yet
+    name = np.unique(label, return_inverse=True)[1] if label else np.arange(n)
+    of = np.split(np.argsort(name, kind="stable"), np.cumsum(np.bincount(name))[:-1]) if n else []
+    side = np.asarray(side) if side and len(set(side)) > 1 else None
     seed = 0
     while seed < n:
         if root[seed] != seed or not len(rest):
             seed += 1
             continue
-        rest = rest[rest != seed]
-        queue = [seed]
+        queue = of[name[seed]].tolist()
+        for i in queue:
+            root[i] = seed
+        rest = rest[name[rest] != name[seed]]
         while queue and len(rest):
             x = queue.pop()
             # by size alone
             near = rest[(100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x])) & (size[rest] > 0)]
+            if side is not None:
+                near = near[side[near] != side[x]]
             if not len(near) or not size[x]:
                 continue
             mark[own[x]] = True
             both = np.add.reduceat(mark[np.concatenate([own[i] for i in near])].astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
             mark[own[x]] = False
             hit = near[100 * both >= percent * (size[near] + size[x] - both)]
-            for i in hit.tolist():
-                root[i] = seed
-            queue += hit.tolist()
-            rest = np.setdiff1d(rest, hit, assume_unique=True)
+            for j in np.unique(name[hit]).tolist():
+                new = of[j].tolist()
+                for i in new:
+                    root[i] = seed
+                queue += new
+            rest = rest[~np.isin(name[rest], name[hit])]
         seed += 1
     return root
 
 
 def _compared(units: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b: each set of a unit with the least rep of its component there. units: unit, rep, set_key."""
+    """a, b: each set of a unit with the least rep of its component there. units: unit, rep, set_key, perhaps label and side."""
+    more = [c for c in ("label", "side") if c in units.columns]
     # merged at every size: which texts travel, and how, does not depend on how many units there are
-    texts = docs.join(units.hint("merge"), docs["doc_id"] == units["rep"]).select("unit", "rep", "set_key", "text")
+    texts = docs.join(units.hint("merge"), docs["doc_id"] == units["rep"]).select("unit", "rep", "set_key", "text", *more)
 
     def run(t):
         import pyarrow as pa
         import xxhash
 
-        seen, sets, reps = set(), [], []
+        seen, sets, reps, at = set(), [], [], []
         order = t.column("rep").to_pylist()
         raw, keys = t.column("text"), t.column("set_key").to_pylist()
         for i in sorted(range(len(order)), key=order.__getitem__):
@@ -179,7 +191,8 @@ def _compared(units: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
                 seen.add(order[i])
                 sets.append(s)
                 reps.append(order[i])
-        root = linked(sets, percent)
+                at.append(i)
+        root = linked(sets, percent, *[[c[i] for i in at] for c in (t.column(m).to_pylist() for m in more)])
         return pa.table({"a": pa.array(reps, pa.int64()), "b": pa.array([reps[r] for r in root], pa.int64())})
 
     return texts.groupBy("unit").applyInArrow(run, "a long, b long")
@@ -211,24 +224,31 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     links = written(_compared(small, docs, o["shingle"], o["percent"]), "links").where("a <> b")
     large = placed.where(F.col("total") > o["node_shingles"])
     if large.limit(1).count():
-        units = _units_of_large(large.select("rep", "set_key", "weight"), near, sets, o)
+        units, oversized = _units_of_large(large.select("rep", "set_key", "weight"), near, sets, o)
         more = written(_compared(units, docs, o["shingle"], o["percent"]), "links-large").where("a <> b")
-        links = links.union(components(more).select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b"))
+        found_in_large = written(components(more), "linked")
+        if oversized.limit(1).count():
+            units = _units_across(oversized, large.select("rep", "set_key", "weight"), found_in_large, o)
+            across = written(_compared(units, docs, o["shingle"], o["percent"]), "links-across").where("a <> b")
+            found_in_large = components(across.union(found_in_large.select("node", "component")))
+        links = links.union(found_in_large.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b"))
     final = sets.select("set_key", "rep").join(links.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     out = found.join(final, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _units_of_large(large: DataFrame, near: DataFrame, sets: DataFrame, o: dict) -> DataFrame:
-    """unit, rep, set_key for groups beyond node_shingles: their nodes, branched until they fit, then blocks with pivots."""
+def _units_of_large(large: DataFrame, near: DataFrame, sets: DataFrame, o: dict) -> tuple[DataFrame, DataFrame]:
+    """For groups beyond node_shingles: unit, rep, set_key (their nodes, branched until they fit, then blocks with pivots),
+    and rep, low of the nodes that did not fit before they were branched."""
     sketch = sets.select("rep", "sketch")
     at = near.select("path", "rep").join(large.select("rep", "weight"), "rep").join(sketch, "rep").select("path", "rep", "weight", "sketch")
-    units = None
+    units = oversized = None
     for level in range(o["levels"] + 1):
         now = written(_weighed(at), "branch")
         fits = now.where(F.col("total") <= o["node_shingles"]).select(F.col("path").alias("unit"), "rep")
         units = fits if units is None else units.union(fits)
         at = now.where(F.col("total") > o["node_shingles"])
+        oversized = at.select("rep", "low") if oversized is None else oversized
         if not at.limit(1).count():
             break
         if level < o["levels"]:
@@ -240,7 +260,42 @@ def _units_of_large(large: DataFrame, near: DataFrame, sets: DataFrame, o: dict)
         pivot = (F.col("rep") == F.col("low")) | (F.pmod(pick, F.greatest(F.floor(F.col("n") / 32), F.lit(1)).cast("long")) == 0)
         shared = at.where(pivot).select("path", "rep", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("k")).select(F.xxhash64("path", "k").alias("unit"), "rep")
         units = units.union(dealt).union(shared)
-    return units.distinct().join(large.select("rep", "set_key"), "rep").select("unit", "rep", "set_key")
+    return units.distinct().join(large.select("rep", "set_key"), "rep").select("unit", "rep", "set_key"), oversized
+
+
+def _units_across(oversized: DataFrame, large: DataFrame, label: DataFrame, o: dict) -> DataFrame:
+    """unit, rep, set_key, label, side: all pairs of blocks of the sets whose oversized nodes share members.
+
+    Blocks hold about half of node_shingles, of similar sizes; sets of a label (what is linked already) that fills
+    blocks have their own. Left out are pairs of blocks of one label, and those whose sizes rule out the similarity.
+    """
+    half = max(o["node_shingles"] // 2, 1)
+    joint = components(oversized.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component", "joint")
+    sets = (
+        oversized.select("rep").distinct().join(large, "rep")
+        .join(joint, F.col("rep") == joint["node"], "left").drop("node")
+        .join(label.withColumnRenamed("component", "label"), F.col("rep") == label["node"], "left")
+        .select("rep", "set_key", "weight", F.coalesce("joint", "rep").alias("joint"), F.coalesce("label", "rep").alias("label"))
+        .withColumn("step", F.floor(F.log("weight") / F.log(F.lit(100 / o["percent"]) + 1e-9)) if o["percent"] < 100 else F.col("weight"))
+    )
+    sets = written(sets, "across")
+    many = sets.groupBy("joint", "step", "label").agg(F.sum("weight").alias("own")).withColumn("alone", F.col("own") > half)
+    few = many.where("NOT alone").groupBy("joint", "step").agg(F.sum("own").alias("others"))
+    dealt = (
+        sets.join(many, ["joint", "step", "label"]).join(few, ["joint", "step"], "left")
+        .withColumn("n", F.ceil(F.when(F.col("alone"), F.col("own")).otherwise(F.col("others")) / half))
+        .withColumn("block", F.xxhash64("step", F.when(F.col("alone"), F.col("label")), F.pmod(F.xxhash64("rep", "set_key"), F.col("n"))))
+        .select("joint", "block", "rep", "set_key", "weight", "label")
+    )
+    dealt = written(dealt, "blocks")
+    block = dealt.groupBy("joint", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("weight").alias("w0"), F.max("weight").alias("w1"))
+    x, y = block.alias("x"), block.alias("y")
+    near = (100 * F.col("x.w1") >= o["percent"] * F.col("y.w0")) & (100 * F.col("y.w1") >= o["percent"] * F.col("x.w0"))
+    one = F.least("x.l0", "y.l0") == F.greatest("x.l1", "y.l1")
+    pairs = x.join(y, (F.col("x.joint") == F.col("y.joint")) & (F.col("x.block") <= F.col("y.block")) & near & ~one)
+    pairs = pairs.select(F.col("x.joint").alias("joint"), F.array_distinct(F.array("x.block", "y.block")).alias("both"))
+    pairs = written(pairs.select("joint", F.xxhash64("joint", "both").alias("unit"), F.explode("both").alias("block")), "pairs")
+    return dealt.join(pairs, ["joint", "block"]).select("unit", "rep", "set_key", "label", F.col("block").alias("side"))
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -46,6 +46,31 @@ def test_large_groups_are_branched(spark):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, shingle=4, node_shingles=limit).collect()} == expected
 
 
+def test_oversized_nodes_are_compared_whole(spark):
+    """Pairs at about the threshold, in groups whose nodes are nearly all beyond node_shingles, are all found."""
+    rng, base, rows = random.Random(21), prose(21, 200).split(), []
+    for i in range(150):
+        w = list(base)
+        for j in (0, 1):
+            for at in rng.sample(range(200), 4):
+                w[at] = f"w{i}-{j}-{at}"
+            rows.append((2 * i + j, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_components(rows)
+    assert len({c for _, _, c in expected}) > 100
+    got = near_dup.near_duplicates(df, shingle=4, node_shingles=4_000, trees=6, depth=1, levels=1).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == expected
+
+
+def test_linked_by_label_and_side():
+    import numpy as np
+
+    a, b, c = np.arange(20), np.arange(1, 21), np.arange(100, 120)
+    assert near_dup.linked([a, b, c], 80) == [0, 0, 2]
+    assert near_dup.linked([a, c, b], 80, [7, 7, 9], [1, 1, 2]) == [0, 0, 0]
+    assert near_dup.linked([a, b, c], 80, [1, 2, 3], [1, 1, 2]) == [0, 1, 2]
+
+
 def test_kept_documents(docs):
     kept = near_dup.kept_documents(docs, shingle=4)
     assert kept.columns == docs.columns
