@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: A text without any of these (lower-cased) has no assign match, or no value to cost.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("pwd", "pass", "cred", "auth", "bearer", "login", "private_key", "access_key", "signing", "session")
-CONTEXT = re.compile(r"""(?:pwd|pass(?:word|wd|phrase|code|key)?|credentials?|auth(?:orization|_token)?|bearer|login|private_key|access_key|signing_key|session_(?:id|key))["']?(?:\x20*[:=]+\x20*|\x20+)(?:bearer\x20+)?["']?([\x21\x23-\x26\x28-\x7e]{8,256})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?:pwd|pass(?:word|wd|phrase|code|key)?|credentials?|auth(?:orization|_token)?|bearer|login|private_key|access_key|signing_key|session_(?:id|key))["']?(?:\x20*[:=]+\x20*|\x20+)(?:bearer\x20+)?["']?([\x21\x23-\x26\x28-\x7e]{8,})""", re.ASCII | re.IGNORECASE)
 
 #: Common parts of chosen passwords, by rank.
 COMMON = ("password", "pass", "admin", "welcome", "letmein", "login", "master", "secret", "dragon", "monkey", "qwerty", "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman", "trustno", "hello", "freedom", "whatever", "summer", "winter", "spring", "autumn", "love", "test", "user", "root", "default", "changeme", "guest", "example", "token", "key", "api", "the", "and", "for", "you", "abc", "access", "server", "data", "home", "work", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -60,8 +60,8 @@ def alphabet_bits(value: str) -> float:
 def guess_bits(value: str) -> float:
     """The least bits over all segmentations: best[j] = min over i of best[i] + bits of value[i:j].
 
-    Runs (repeats, walks, sequences) and words are bounded in length by what they match; the time is
-    linear in the value times the longest segment. Empty values cost nothing.
+    Words are bounded in length by what they match. Of a run (repeat, walk, sequence) only the starts that may still
+    be the cheapest are kept: once a later start costs no less than an earlier one, it never does again. Empty values cost nothing.
     """
     n, low = len(value), value.lower()
     plain, per_char, near = low.translate(LEET), alphabet_bits(value), neighbours()
@@ -71,7 +71,12 @@ def guess_bits(value: str) -> float:
             dates.setdefault(i, []).append(m.end())
     best = [0.0] + [math.inf] * n
     brute = [0.0] + [math.inf] * n  # best cost that ends inside a brute-force span
+    steps = (lambda a, b: a == b, lambda a, b: a + b in near, lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum())
+    starts: list[list[int]] = [[], [], []]
     for i in range(n):
+        for k, step in enumerate(steps):
+            if i and not step(low[i - 1], low[i]):
+                starts[k] = []
         if i:
             brute[i] = min(brute[i], best[i] + SWITCH_BITS)
         for word, extra in ((low, 0.0), (plain, 1.0)):
@@ -81,14 +86,15 @@ def guess_bits(value: str) -> float:
                     best[j] = min(best[j], best[i] + SWITCH_BITS + math.log2(r + 1) + shift + extra)
         for j in dates.get(i, ()):
             best[j] = min(best[j], best[i] + SWITCH_BITS + DATE_BITS)
-        for step in (lambda a, b: a == b, lambda a, b: a + b in near, lambda a, b: abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()):
-            j = i + 1
-            while j < n and step(low[j - 1], low[j]):
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], best[i] + SWITCH_BITS + per_char + 1.5 * math.log2(j - i))
         brute[i + 1] = min(brute[i + 1], brute[i] + per_char)
         best[i + 1] = min(best[i + 1], brute[i + 1])
+        for k in range(3):
+            starts[k].append(i)
+            open_ = [(best[a] + SWITCH_BITS + per_char + 1.5 * math.log2(i + 1 - a), a) for a in starts[k] if i + 1 - a >= 3]
+            if open_:
+                cost, at = min(open_)
+                best[i + 1] = min(best[i + 1], cost)
+                starts[k] = [a for a in starts[k] if a == at or i + 1 - a < 3 or (a < at and best[a] <= best[at])]
     return best[n]
 
 

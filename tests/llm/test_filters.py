@@ -64,6 +64,13 @@ def test_guess_costs():
     assert secrets.find(None) == ([], [])
 
 
+def test_long_values_are_costed_whole():
+    rng = random.Random(9)
+    value = "".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(2000))
+    assert secrets.find(f"pwd: {value} end")[1] == [(5, 2005, 3)]
+    assert secrets.guess_bits("aB1" + "a" * 100_000) < 80
+
+
 def test_secret_operators(spark, docs, rows, no_docs):
     assert secrets.scan(docs).where("spans <> ''").count() == 0 and secrets.scan(docs).count() == len(rows)
     assert secrets.scan(no_docs).count() == 0
