@@ -4,7 +4,8 @@ Base patterns (assign, access, hex) give spans as they are. Beside them, a value
 credentials stand ("pwd: x", "Authorization: Bearer x", "login with passphrase x") is costed by dynamic
 programming over its characters: the cheapest way, in bits, to cut it into dictionary words, dates,
 repeats, keyboard walks, sequences and brute-force spans. Values that cost at least ``min_bits`` are
-kind "guess"; those that overlap a base span are left to it.
+kind "guess"; those that lie within a base span are left to it. Values are costed whole, however long. After
+':' or '=' a value needs no digit if it mixes cases beyond its first letter; single-class values are not costed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: A text without any of these (lower-cased) has no assign match, or no value to cost.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("pwd", "pass", "cred", "auth", "bearer", "login", "private_key", "access_key", "signing", "session")
-CONTEXT = re.compile(r"""(?:pwd|pass(?:word|wd|phrase|code|key)?|credentials?|auth(?:orization|_token)?|bearer|login|private_key|access_key|signing_key|session_(?:id|key))["']?(?:\x20*[:=]+\x20*|\x20+)(?:bearer\x20+)?["']?([\x21\x23-\x26\x28-\x7e]{8,})""", re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile(r"""(?:pwd|pass(?:word|wd|phrase|code|key)?|credentials?|auth(?:orization|_token)?|bearer|login|private_key|access_key|signing_key|session_(?:id|key))["']?(\x20*[:=]+\x20*|\x20+)(?:bearer\x20+)?["']?""", re.ASCII | re.IGNORECASE)
+RUN = re.compile(r"[\x21\x23-\x26\x28-\x7e]*")
 
 #: Common parts of chosen passwords, by rank.
 COMMON = ("password", "pass", "admin", "welcome", "letmein", "login", "master", "secret", "dragon", "monkey", "qwerty", "shadow", "sunshine", "princess", "football", "baseball", "superman", "batman", "trustno", "hello", "freedom", "whatever", "summer", "winter", "spring", "autumn", "love", "test", "user", "root", "default", "changeme", "guest", "example", "token", "key", "api", "the", "and", "for", "you", "abc", "access", "server", "data", "home", "work", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -114,15 +116,20 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], min_bits: float, lo
     lower = text.lower() if lower is None else lower
     if not any(w in lower for w in CONTEXT_WORDS):
         return []
-    out = []
-    for m in CONTEXT.finditer(text):
-        start, value = m.start(1), m[1].rstrip(".,;:!?)]}>|")
-        kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value)))
-        if len(value) < 8 or kinds < 2 or not any(c.isdigit() for c in value):  # prose follows such words too
-            continue
-        end = start + len(value)
-        if guess_bits(value) >= min_bits and not any(s < end and start < e for s, e, _ in base):
+    out, at, last, end, stop = [], 0, {}, 0, 0
+    while m := CONTEXT.search(text, at):
+        start = at = m.end()
+        if start >= stop:  # else the value is the rest of a run that is known
+            run = RUN.match(text, start)[0]
+            stop, end = start + len(run), start + len(run.rstrip(".,;:!?)]}>|"))
+            last = {f: max((start + i for i, c in enumerate(run) if f(c)), default=-1) for f in (str.islower, str.isupper, str.isdigit)}
+        low, up, digit = (last[f] >= start for f in (str.islower, str.isupper, str.isdigit))
+        mixed = low + up + digit >= 2 if digit else m[1].strip(" ") != "" and low and last[str.isupper] > start
+        if end - start < 8 or not mixed or guess_bits(text[start:end]) < min_bits:  # prose follows such words too
+            continue  # a rejected value may be a credential word itself
+        if not any(s <= start and end <= e for s, e, _ in base):
             out.append((start, end, 3))
+        at = stop
     return out
 
 

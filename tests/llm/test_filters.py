@@ -71,6 +71,14 @@ def test_long_values_are_costed_whole():
     assert secrets.guess_bits("aB1" + "a" * 100_000) < 80
 
 
+def test_values_around_the_costs():
+    shown = lambda t: secrets.redact(t, secrets.find(t)[1])
+    assert shown("password: Abcdefgh1!xYz#9") == "[assign]"
+    assert shown("pwd: hGtRwQzXbNmKpLvC") == "pwd: [guess]" and shown("pwd: Required, Login: Facebook") == "pwd: Required, Login: Facebook"
+    assert shown("login password x9Kq2LmZ0pRt") == "login password [guess]"
+    assert shown("pwd=" * 20_000) == "pwd=" * 20_000
+
+
 def test_secret_operators(spark, docs, rows, no_docs):
     assert secrets.scan(docs).where("spans <> ''").count() == 0 and secrets.scan(docs).count() == len(rows)
     assert secrets.scan(no_docs).count() == 0
