@@ -31,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op8_near_dup": op8_near_dup,
     "op9_url_filter": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }

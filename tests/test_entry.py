@@ -13,6 +13,10 @@ def test_registered():
     assert set(sql) <= set(queries) and len(queries) > 40
 
 
+def test_sql_is_text():
+    assert [n for n, q in __spark_entry__.oracle_sql().items() if not isinstance(q, str)] == []
+
+
 def test_nothing_else_imports_the_llm_subpackage():
     for p in (ROOT / "lexloom").rglob("*.py"):
         if "llm" in p.relative_to(ROOT).parts:
