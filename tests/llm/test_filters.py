@@ -46,6 +46,35 @@ def test_frequent_lines(spark):
     assert kept[3] == prose(3, 30) and kept[200].startswith(line) and 100 not in kept
 
 
+def brute_frequent(rows):
+    """Words of frequent lines of each document, by the definition: distinct texts of a host with the line, against its distinct texts."""
+    norm = lambda x: " ".join(x.lower().split())
+    texts = {}
+    for _, t, h in rows:
+        texts.setdefault(h, set()).add(t or "")
+    above = set()
+    for h, ts in texts.items():
+        held = {}
+        for t in ts:
+            for x in {norm(x) for x in t.split("\n")} - {""}:
+                held[x] = held.get(x, 0) + 1
+        above |= {(h, x) for x, n in held.items() if n >= 20 and (n > 0.02 * len(ts) or n >= 200)}
+    return sorted((i, sum(len(x.split()) for x in (t or "").split("\n") if (h, norm(x)) in above)) for i, t, h in rows)
+
+
+def test_frequent_lines_against_brute_force(spark, no_docs):
+    """Lines in 5 %, 1 % and 0.5 % of large hosts, copies of one text, a host without a name, very long and empty texts."""
+    rng = random.Random(5)
+    rows = [(i, "\n".join([prose(i, 9), *(["A  line\tof five percent"] if i % 20 == 0 else []), *(["one of a hundred"] if i % 100 == 1 else [])]), "big") for i in range(1500)]
+    rows += [(5000 + i, f"{prose(1, 12)}\ncopied line here", "copies") for i in range(60)]
+    rows += [(6000 + i, f"{rng.random()}\n one  footer \n" * 3, None) for i in range(25)] + [(7000, None, None), (7001, "", "big"), (7002, prose(9, 30_000) + "\na line of FIVE percent", "big"), (7002, "a line of five percent", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.n_frequent_words) for r in quality.judge(df).collect()) == brute_frequent(rows)
+    assert quality.judge(df.drop("source")).count() == len(rows) and quality.kept_documents(no_docs).count() == 0
+    # however large the host, max_docs texts are enough
+    assert {r.n_frequent_words for r in quality.judge(df, max_share=0.5, max_docs=70).where("doc_id % 20 = 0 AND doc_id < 1500").collect()} == {5}
+
+
 def test_secret_base_spans():
     f = lambda t: secrets.said(secrets.base_spans(t))
     assert f('x token = "abcdefgh1" y') == "assign:2:20"
