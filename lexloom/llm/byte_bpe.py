@@ -16,9 +16,12 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, table
+from .common import chunks, only, table
 from .pieces import PieceCache
 
+#: Bytes of texts encoded together.
+CHUNK = 8 << 20
+
 
 @lru_cache(maxsize=1)
 def byte_characters() -> list[str]:
@@ -96,12 +99,12 @@ class ByteBpe:
             distinct[t] = struct.pack(f"<{len(ids)}I", *[i - 1 for i in ids])
         return [b"".join([distinct[t] for t in tokens]) for tokens in found]
 
-    def pack(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return self.cache.pack(text or "")
+    def pack_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return self.cache.pack_all([t or "" for t in texts])
 
     def encode(self, text: str | None) -> list[int]:
-        packed = self.pack(text)
+        packed = self.pack_all([text])[0]
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
     def decode(self, packed: bytes) -> bytes:
@@ -124,7 +127,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         bpe = load(path, pattern)
         for b in batches:
-            ids = [np.frombuffer(bpe.pack(t), "<u4").astype("int32") for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(p, "<u4").astype("int32") for _, texts in chunks(b.column(1), CHUNK) for p in bpe.pack_all([t.decode() for t in texts])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids array<int>")
@@ -162,16 +165,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             n, ids, back, same, kept = [], [], [], [], []
-            for text in b.column(1):
-                text = text.as_py() or ""
-                packed = bpe.pack(text)
-                raw = bpe.decode(packed)
-                n.append(len(packed) // 4)
-                ids.append(sha(packed))
-                back.append(sha(raw))
-                same.append(raw == text.encode())
-                if keep_ids:
-                    kept.append(np.frombuffer(packed, "<i4"))
+            for _, texts in chunks(b.column(1), CHUNK):
+                for text, packed in zip(texts, bpe.pack_all([t.decode() for t in texts])):
+                    raw = bpe.decode(packed)
+                    n.append(len(packed) // 4)
+                    ids.append(sha(packed))
+                    back.append(sha(raw))
+                    same.append(raw == text)
+                    if keep_ids:
+                        kept.append(np.frombuffer(packed, "<i4"))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"]
             if keep_ids:

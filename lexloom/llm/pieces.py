@@ -33,33 +33,53 @@ class PieceCache:
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if _MARK in text or _ODD.search(text):
-            return _CUT.split(text)
+    def _marked(self, text: str) -> str:
+        """The text with a mark at each cut."""
+        if _ODD.search(text):
+            return _CUT.sub(_MARK, text)
         if self.whole not in text and not _RUN.search(text):
             text = text.replace(", ", "\x00, ").replace(". ", "\x00. ").replace(".\n", "\x00.\x00\n\x00")
-        return text.replace(" ", "\x00 ").split(_MARK)
+        return text.replace(" ", "\x00 ")
 
-    def pack(self, text: str) -> bytes:
-        split = self.pieces(text)
-        out = list(map(self.new.get, split))
+    def pieces(self, text: str) -> list[str]:
+        return _CUT.split(text) if _MARK in text else self._marked(text).split(_MARK)
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of distinct pieces; those that no cache holds are encoded together."""
+        out = list(map(self.new.get, pieces))
         if None in out:
-            old = self.old.get
             missing = [i for i, x in enumerate(out) if x is None]
-            found = {split[i]: None for i in missing}
             unknown = []
-            for p in found:
-                v = old(p)
-                if v is None:
-                    unknown.append(p)
-                else:
-                    found[p] = v
-            if unknown:
-                found.update(zip(unknown, self.encode(unknown)))
             for i in missing:
-                out[i] = found[split[i]]
-            if len(self.new) + len(found) > self.size:
+                out[i] = self.old.get(pieces[i])
+                if out[i] is None:
+                    unknown.append(i)
+            for i, v in zip(unknown, self.encode([pieces[i] for i in unknown]) if unknown else ()):
+                out[i] = v
+            if len(self.new) + len(missing) > self.size:
                 self.new, self.old = {"": b""}, self.new
             most = self.max_chars
-            self.new.update((k, v) for k, v in found.items() if len(k) <= most)
-        return b"".join(out)
+            self.new.update((pieces[i], out[i]) for i in missing if len(pieces[i]) <= most)
+        return out
+
+    def pack(self, text: str) -> bytes:
+        return self.pack_all([text])[0]
+
+    def pack_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. Arrow cuts the texts and finds the distinct pieces, so that each is looked up once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array(["" if _MARK in t else self._marked(t) for t in texts], pa.large_string()), _MARK)
+        coded = split.values.dictionary_encode()
+        ids = pa.array(self.lookup(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        out = [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+        for i, t in enumerate(texts):
+            if _MARK in t:  # the mark itself: cut without marks
+                pieces = _CUT.split(t)
+                found = dict(zip(own := list(dict.fromkeys(pieces)), self.lookup(own)))
+                out[i] = b"".join([found[p] for p in pieces])
+        return out

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -23,28 +24,58 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import forget_at_exit, only, parts, shared_dir, table
+from .byte_bpe import byte_characters
+from .common import chunks, forget_at_exit, only, parts, shared_dir, table
 from .pieces import PieceCache
 
 END_ID = 0
+#: A word of Latin letters, and a piece without white space, perhaps behind a blank.
+LETTERS = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+WORD_PIECE = re.compile(r" ?\S+").fullmatch
 FRAMES = "shard int, ordinal long, doc_id long, byte_offset long, byte_length int, local_start long, n_tokens long, frame binary, dict_sha256 string"
 
 
 @lru_cache(maxsize=2)
 def packer(tokenizer_path: str, width: int) -> PieceCache:
+    import numpy as np
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path)
-    code = "<%d" + {2: "H", 4: "I"}[width]
-
-    def encode(pieces: list[str]) -> list[bytes]:
+    kind = f"<u{width}"
+    line_end = t.encode("\n", add_special_tokens=False).ids
+    byte_letters = dict(enumerate(byte_characters()))
+    # the shortcuts hold for byte-level vocabularies whose words get no prefix; others go through the library whole
+    plain = len(line_end) == 1 and t.normalizer is None and str(t.pre_tokenizer) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+
+    def singly(pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def joined(pieces: list[str]) -> list[bytes]:
+        """Pieces without line ends are encoded as the lines of one text: no token crosses a line end that stands alone."""
+        ids = np.array(t.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, kind)
+        ends = np.append(np.flatnonzero(ids == line_end[0]), len(ids))
+        raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1)
+        out = [raw[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist())]
+        return out if len(out) == len(pieces) else singly(pieces)
+
+    def merged(pieces: list[str]) -> list[bytes]:
+        """Words of letters are pre-tokens as they are: the library's model merges their bytes."""
+        code, pack, tokens = {2: "H", 4: "I"}[width], struct.pack, t.model.tokenize
         out = []
-        for e in t.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = e.ids
-            out.append(struct.pack(code % len(ids), *ids))
+        for p in pieces:
+            ids = [x.id for x in tokens(p.encode().decode("latin-1").translate(byte_letters))]
+            out.append(pack(f"<{len(ids)}{code}", *ids))
         return out
 
+    def encode(pieces: list[str]) -> list[bytes]:
+        if not plain:
+            return singly(pieces)
+        kinds = [0 if LETTERS(p) else 1 if WORD_PIECE(p) and "<|" not in p else 2 for p in pieces]
+        done = [iter(f(x) if (x := [p for p, k in zip(pieces, kinds) if k == n]) else ()) for n, f in enumerate((merged, joined, singly))]
+        return [next(done[k]) for k in kinds]
+
     return PieceCache(encode)
 
 
@@ -69,7 +100,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, *, dict_b
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([(pack(t) + _end(width))[:sample_bytes] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
 
-    rows = docs.select("text").where(F.col("text").isNotNull()).limit(sample_docs).mapInArrow(run, "ids binary").collect()
+    # the rows of least hash, of all rows: each task keeps its own least ones
+    drawn = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs).select("text")
+    rows = drawn.mapInArrow(run, "ids binary").collect()
     samples = [bytes(r.ids) for r in rows]
     try:
         return zstandard.train_dictionary(dict_bytes, samples).as_bytes()
@@ -95,16 +128,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, *, level: int =
         import zstandard
         from pyspark import TaskContext
 
-        pack, end, shard = packer(tokenizer_path, width).pack, _end(width), TaskContext.get().partitionId()
+        pack, end, shard = packer(tokenizer_path, width).pack_all, _end(width), TaskContext.get().partitionId()
         c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         k = offset = before = 0
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = pack(text.as_py() or "") + end
-                frame, n = c.compress(raw), len(raw) // width
-                rows.append((shard, k, doc_id, offset, len(frame), before, n, frame, sha))
-                k, offset, before = k + 1, offset + len(frame), before + n
+            rows, ids = [], b.column(0).to_pylist()
+            for at, texts in chunks(b.column(1), 8 << 20):
+                for doc_id, raw in zip(ids[at : at + len(texts)], pack([t.decode() for t in texts])):
+                    raw += end
+                    frame, n = c.compress(raw), len(raw) // width
+                    rows.append((shard, k, doc_id, offset, len(frame), before, n, frame, sha))
+                    k, offset, before = k + 1, offset + len(frame), before + n
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], [x.split()[0] for x in FRAMES.split(", ")])
 

@@ -20,7 +20,7 @@ def test_same_ids_as_tiktoken():
     letters = list(" \n\t\r\x1c\x85\u3000aB1é'sß日本😀_-.") + ["  ", "\n\n", " a", "'ll", "<|endoftext|>"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 20_000, " " * 999, "ab " * 500, ""]
     assert all(own.encode(t) == ref.encode_ordinary(t) for t in texts)
-    assert all(own.decode(own.pack(t)) == t.encode() for t in texts)
+    assert all(own.decode(p) == t.encode() for t, p in zip(texts, own.pack_all(texts)))
 
 
 def test_round_trip_operator(docs, rows, no_docs):
@@ -40,6 +40,17 @@ def test_encode_then_decode(docs, rows):
     assert sorted((r.doc_id or -1, bytes(r.bytes)) for r in back) == sorted((i or -1, (t or "").encode()) for i, t in rows)
 
 
+def test_same_ids_as_tokenizers():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    letters = list(" \n\t\r\x0b\x1c\x85\u3000\u200baB1é'sß\u01c5\u0138\u0149ªº日本😀_-.,|*\x00") + ["  ", "\n\n", " a", "'ll", "<|endoftext|>", "word ", "Übung, "]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 20_000, " " * 999, "ab " * 500, "", ". ".join(["one, two"] * 300)]
+    t, own = Tokenizer.from_file(path), token_store.packer(path, 2)
+    for _ in range(2):  # the second time from the cache
+        assert own.pack_all(texts) == [np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_store(spark, docs, rows, no_docs, tmp_path):
     from tokenizers import Tokenizer
 
