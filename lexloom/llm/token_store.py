@@ -14,6 +14,7 @@ this bound touches compression only, never what is stored.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import struct
@@ -100,8 +101,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, *, dict_b
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([(pack(t) + _end(width))[:sample_bytes] for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
 
-    # the rows of least hash, of all rows: each task keeps its own least ones
-    drawn = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample_docs).select("text")
+    # the rows of least hash, of all rows; a threshold leaves about four times as many to be ordered
+    least = math.ceil(min(1.0, 4 * sample_docs / max(1, docs.count())) * (1 << 40))
+    hashed = docs.where("text IS NOT NULL").select("text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 24).alias("h"))
+    drawn = hashed.where(F.col("h") < least).orderBy("h").limit(sample_docs).select("text")
     rows = drawn.mapInArrow(run, "ids binary").collect()
     samples = [bytes(r.ids) for r in rows]
     try:
