@@ -1,6 +1,9 @@
+import itertools
+import math
 import random
 import re
 
+import public_tokenizers
 import pytest
 
 from lexloom.llm import quality, secrets, toxicity, url_filter
@@ -93,6 +96,40 @@ def test_guess_costs():
     assert secrets.find(None) == ([], [])
 
 
+def brute_guess_bits(value, ranks):
+    """The least over all segmentations, each span at its cheapest kind; neighbours' spans of brute force are one span."""
+    low, per_char = value.lower(), secrets.alphabet_bits(value)
+
+    def bits(a, b):
+        x, n, out = low[a:b], b - a, [per_char * (b - a)]
+        for word, extra in ((x, 0), (x.translate(secrets.LEET), 1)):
+            if n > 1 and word in ranks:
+                v = value[a:b]
+                out.append(math.log2(ranks[word] + 1) + extra + (0 if v.islower() else 1 if v.istitle() or v.isupper() else n))
+        if (m := secrets.DATE.match(value, a)) and m.end() == b:
+            out.append(secrets.DATE_BITS)
+        pairs = list(zip(x, x[1:]))
+        if n >= 3 and (all(p == q for p, q in pairs) or all(p + q in secrets.neighbours() for p, q in pairs) or all(abs(ord(p) - ord(q)) == 1 and p.isalnum() and q.isalnum() for p, q in pairs)):
+            out.append(per_char + 1.5 * math.log2(n))
+        for p in range(2, 9):
+            if n >= 2 * p and all(x[i] == x[i + p] for i in range(n - p)) and (b == len(low) or low[b] != low[b - p]):
+                out.append(p * per_char + 1.5 * math.log2(n / p))
+        return secrets.SWITCH_BITS + min(out)
+
+    n = len(value)
+    cuts = ([0, *c, n] for k in range(n) for c in itertools.combinations(range(1, n), k))
+    return min(sum(bits(a, b) for a, b in zip(c, c[1:])) for c in cuts) if n else 0.0
+
+
+def test_guess_costs_against_all_segmentations():
+    rng = random.Random(11)
+    ranks = secrets.dictionary(None)[0]
+    parts = ["pass", "P4ss", "key", "2024", "1999-12-31", "qwe", "aaa", "abc", "xyxy", "K", "7", "!", "zq"]
+    values = {"".join(rng.choice(parts) for _ in range(5))[: rng.randint(1, 10)] for _ in range(120)}
+    for v in values:
+        assert abs(secrets.guess_bits(v) - brute_guess_bits(v, ranks)) < 1e-9, v
+
+
 def test_long_values_are_costed_whole():
     rng = random.Random(9)
     value = "".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(2000))
@@ -101,11 +138,16 @@ def test_long_values_are_costed_whole():
 
 
 def test_values_around_the_costs():
-    shown = lambda t: secrets.redact(t, secrets.find(t)[1])
+    words = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    shown = lambda t: secrets.redact(t, secrets.find(t, words)[1])
     assert shown("password: Abcdefgh1!xYz#9") == "[assign]"
     assert shown("pwd: hGtRwQzXbNmKpLvC") == "pwd: [guess]" and shown("pwd: Required, Login: Facebook") == "pwd: Required, Login: Facebook"
-    assert shown("login password x9Kq2LmZ0pRt") == "login password [guess]"
-    assert shown("pwd=" * 20_000) == "pwd=" * 20_000
+    assert shown("login password x9Kq2LmZ0pRt") == "login password [guess]" and shown("the secret is x9Kq2LmZ0pRt.") == "the secret is [guess]."
+    assert shown("Authorization: Bearer kfjqzhvnwtrxbmpl") == "Authorization: Bearer [guess]"
+    assert shown("pwd=" * 200) == "pwd=" * 200 and len(secrets.find("pwd=" * 20_000)[1]) <= 1
+    plain = "login with Understanding2020, passphrase Elephant12, token = Mississippi, the password requirements"
+    assert shown(plain).replace("[assign]", "token = Mississippi") == plain
+    assert secrets.said(secrets.find("token = Xk29vQ7pLm", words)[1]) == "assign:0:18,guess:8:18"  # a base value is costed too
 
 
 def test_secret_operators(spark, docs, rows, no_docs):
