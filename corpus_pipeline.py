@@ -25,7 +25,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind; every document stays."""
-    return secrets.redacted_documents(docs)
+    import public_tokenizers
+
+    return secrets.redacted_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and reread. Empty tables give an empty result; rows without doc_id
+    pass the near-dedup and decontamination stages; rows that repeat are kept or dropped together."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
