@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .annotate import GROUP_NAMES, STOPWORDS, TAG_GROUPS
-from .mining import MAX_LEN, all_grams
 
 EPSILON = 1e-8
 

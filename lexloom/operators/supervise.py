@@ -2,44 +2,86 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 #: Relation phrases over a tag string: verb, words, preposition; verb, preposition; verb; noun, preposition.
 _V, _W, _P, _N = r"((VB|VBD|VBG|VBN|VBP|VBZ) )+", r"((NN.{0,2}|JJ.{0,1}|RB.{0,1}|PRP.{0,1}|DT ))+", r"((IN|RP) +)", r"(NN.{0,2})+"
 RELATION = f"({_V}{_W}{_P}|{_V}{_P}|{_V}|{_N}{_P})"
+_FIRST = re.compile(RELATION).search
 
 
 def frequent_phrases(phrases: DataFrame, more_than: int = 9) -> DataFrame:
-    """text, freq of phrases that occur more than ``more_than`` times."""
-    return phrases.groupBy("text").agg(F.count("*").alias("freq")).where(F.col("freq") > more_than)
+    """text, freq of phrases that occur more than ``more_than`` times (times, where a row stands for several)."""
+    count = F.sum("times") if "times" in phrases.columns else F.count("*")
+    return phrases.groupBy("text").agg(count.alias("freq")).where(F.col("freq") > more_than)
 
 
-def mention_pairs(mentions: DataFrame) -> DataFrame:
-    """sent_id, gap_st, gap_n: the words between mentions i < j that do not overlap. mentions: sent_id, st, n."""
-    a, b = mentions.select("sent_id", F.col("st").alias("a_st"), (F.col("st") + F.col("n")).alias("a_end")), mentions.select("sent_id", F.col("st").alias("b_st"))
-    return a.join(b, "sent_id").where("b_st >= a_end").select("sent_id", F.col("a_end").alias("gap_st"), (F.col("b_st") - F.col("a_end")).alias("gap_n"))
+def phrases_between(tags: list[str], spans: list[tuple[int, int]], legacy: bool = False) -> list[tuple[int, int, int]]:
+    """(first word, words, times) of the first relation phrase between two spans (start, past the end) that do not overlap, counted over all pairs.
 
+    Of the spans behind one, ever longer gaps find ever better matches, and the same match once it is found again:
+    so each change is found by bisection, and pairs are counted, not visited.
+    """
+    starts = [0]
+    for t in tags:
+        starts.append(starts[-1] + len(t) + 1)
+    said = "".join([f"{t} " for t in tags])
+    places = {c: i for i, c in enumerate(starts)}
+    rights = sorted(s for s, _ in spans)
+    out = []
+    for _, end in spans:
+        def match(j: int):
+            m = _FIRST(said, starts[end], starts[rights[j]] - legacy)
+            return m and m.span()
+
+        j = bisect_right(rights, end)
+        while j < len(rights):
+            now, last = match(j), j
+            step = len(rights) - 1
+            while last < step:  # the last span behind which the match is still this one
+                mid = (last + step + 1) // 2
+                if match(mid) == now:
+                    last = mid
+                else:
+                    step = mid - 1
+            if now:
+                first = bisect_right(starts, now[0]) - 1
+                past = bisect_right(starts, now[0] + len(said[now[0] : now[1]].rstrip()) - 1)
+                out.append((first, past - first, last - j + 1))
+            j = last + 1
+    return out
+
+
+def relation_phrases(sents: DataFrame, legacy: bool = False) -> DataFrame:
+    """sent_id, text, tags, times: the first relation phrase of the gaps between chunks i < j of a sentence that do not overlap,
+    whatever the gap's length, and the number of such pairs. sents: sent_id, tokens, tags, chunks (st, n).
+
+    The tags of a gap end with a blank, so that its last tag can match; ``legacy`` leaves it out. One narrow pass.
+    """
 
-def relation_phrases(sents: DataFrame, pairs: DataFrame, legacy: bool = False, max_gap: int = 10) -> DataFrame:
-    """sent_id, text, tags of the first relation phrase in each gap of 1..max_gap words.
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    The tags of a gap end with a blank, so that its last tag can match; ``legacy`` leaves it out.
-    """
-    rows = pairs.where((F.col("gap_n") > 0) & (F.col("gap_n") <= max_gap)).join(sents.select("sent_id", "tokens", "tags"), "sent_id")
-    said = F.array_join(F.slice("tags", F.col("gap_st") + 1, F.col("gap_n")), " ")
-    said = said if legacy else F.concat(said, F.lit(" "))
-    found = rows.withColumn("said", said).withColumn("m", F.regexp_extract("said", RELATION, 0)).where("m <> ''")
-    blanks = lambda c: F.char_length(c) - F.char_length(F.translate(c, " ", ""))
-    at = blanks(F.expr("substring(said, 1, instr(said, m) - 1)"))
-    n = blanks(F.rtrim(F.col("m"))) + 1
-    return found.select("sent_id", F.array_join(F.slice("tokens", F.col("gap_st") + at + 1, n), " ").alias("text"), F.array_join(F.slice("tags", F.col("gap_st") + at + 1, n), " ").alias("tags"))
+        for b in batches:
+            rows = []
+            for sent, tokens, tags, chunks in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for first, n, times in phrases_between(tags, [(c["st"], c["st"] + c["n"]) for c in chunks], legacy) if chunks and len(chunks) > 1 else ():
+                    rows.append((sent, " ".join(tokens[first : first + n]), " ".join(tags[first : first + n]), times))
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["sent_id", "text", "tags", "times"])
+
+    return sents.select("sent_id", "tokens", "tags", "chunks").mapInArrow(run, "sent_id long, text string, tags string, times long")
 
 
 def linked_by_dictionary(sents: DataFrame, dictionary: DataFrame, max_len: int = 5) -> DataFrame:
     """sent_id, st, ed, gram: every n-gram of a sentence that the dictionary holds."""
-    from .mining import all_grams
+    from .mining import occurrences
 
-    return all_grams(sents, max_len).join(dictionary.select("gram").distinct(), "gram", "left_semi").select("sent_id", "st", (F.col("st") + F.col("n") - 1).alias("ed"), "gram")
+    return occurrences(sents, dictionary.select("gram").distinct(), max_len).select("sent_id", "st", "ed", "gram")
 
 
 def confident_seeds(seeds: DataFrame, sim: float = 0.8, second: float = 0.001) -> DataFrame:
@@ -48,10 +90,11 @@ def confident_seeds(seeds: DataFrame, sim: float = 0.8, second: float = 0.001) -
 
 def linked_by_seed(sents: DataFrame, seeds: DataFrame, max_len: int = 5) -> DataFrame:
     """sent_id, st, ed, gram: where a confident seed's surface stands in a sentence of its document. sents: also doc_id."""
-    from .mining import all_grams
+    from .mining import occurrences
 
     s = confident_seeds(seeds).select(F.col("doc").alias("doc_id"), F.lower("surface").alias("gram")).distinct()
-    return all_grams(sents, max_len).join(sents.select("sent_id", "doc_id"), "sent_id").join(s, ["doc_id", "gram"], "left_semi").select("sent_id", "st", (F.col("st") + F.col("n") - 1).alias("ed"), "gram")
+    found = occurrences(sents, s.select("gram").distinct(), max_len).join(sents.select("sent_id", "doc_id"), "sent_id")
+    return found.join(s, ["doc_id", "gram"], "left_semi").select("sent_id", "st", "ed", "gram")
 
 
 def frequency_bands(phrases: DataFrame, multi: int = 5, low: int = 30, high: int = 100) -> DataFrame:

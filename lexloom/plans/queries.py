@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
+from ..storage import stored
 from ..operators import annotate, deptree, evaluate, features, flags, labels, mentions, mining, quality, rank, segment, supervise, tuples, vocab
 from . import oracle, train
 
@@ -32,6 +33,18 @@ def _toks(spark: SparkSession, d: str) -> DataFrame:
     return annotate.tokens(_sents(spark, d))
 
 
+#: Where the patterns of a folder were stored in this application.
+_MINED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _patterns(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent n-grams of 1 to 5 words, mined once and stored for all queries that start from them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MINED:
+        _MINED[key] = stored(mining.frequent_grams(_sents(spark, d)), "patterns")
+    return _MINED[key]
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -83,31 +96,31 @@ def idf(spark, d):
 
 @query
 def pos_prune_mining(spark, d):
-    return mining.unpruned_grams(_sents(spark, d), ("DT", ".", "IN"), (".", "CC", "DT"), 3).groupBy("gram", "n").agg(F.count("*").alias("freq")).where("freq >= 10")
+    return mining.unpruned_grams(_sents(spark, d), ("DT", ".", "IN"), (".", "CC", "DT")).groupBy("gram", "n").agg(F.count("*").alias("freq")).where("freq >= 10")
 
 
 @query
 def first_tags(spark, d):
     s = _sents(spark, d)
-    return mining.first_tags(s, mining.frequent_grams(s, max_len=3), 3)
+    return mining.first_tags(s, _patterns(spark, d))
 
 
 @query
 def occurrences(spark, d):
     s = _sents(spark, d)
-    return mining.occurrences(s, mining.frequent_grams(s, max_len=3), 3).where("n > 1").drop("n")
+    return mining.occurrences(s, _patterns(spark, d)).where("n > 1").drop("n")
 
 
 @query
 def external_patterns(spark, d):
     s = _sents(spark, d)
-    return mining.with_external(mining.frequent_grams(s, max_len=3), mentions.external_patterns(mentions.noun_chunks(s)), max_len=3)
+    return mining.with_external(_patterns(spark, d), mentions.external_patterns(mentions.noun_chunks(s)))
 
 
 @query
 def pmi_split(spark, d):
     s = _sents(spark, d)
-    p = features.with_probability(mining.frequent_grams(s, max_len=4), annotate.tokens(s))
+    p = features.with_probability(_patterns(spark, d), annotate.tokens(s))
     return _rounded(_rounded(features.best_split(p), 4, "f1", "f4"), 6, "f2")
 
 
@@ -115,25 +128,25 @@ def pmi_split(spark, d):
 def context_outside(spark, d):
     s = _sents(spark, d)
     t = annotate.tokens(s)
-    return _rounded(features.context_outside(mining.occurrences(s, mining.frequent_grams(s, max_len=3), 3), t, vocab.idf(t)), 5, "outside")
+    return _rounded(features.context_outside(mining.occurrences(s, _patterns(spark, d)), t, vocab.idf(t)), 5, "outside")
 
 
 @query
 def punct_ratios(spark, d):
     s = _sents(spark, d)
-    o = mining.occurrences(s, mining.frequent_grams(s, max_len=2), 2).where("n > 1")
+    o = mining.occurrences(s, _patterns(spark, d)).where("n > 1")
     return _rounded(features.punctuation_ratios(o, flags.token_flags(annotate.tokens(s))).drop("n", "all_cap"), 6, "quote", "dash", "parenthesis", "first_cap")
 
 
 @query
 def stopword_features(spark, d):
     s = _sents(spark, d)
-    return _rounded(features.stopword_features(mining.frequent_grams(s, max_len=3), vocab.idf(annotate.tokens(s))).drop("n"), 6, "stop_ratio", "avg_idf")
+    return _rounded(features.stopword_features(_patterns(spark, d), vocab.idf(annotate.tokens(s))).drop("n"), 6, "stop_ratio", "avg_idf")
 
 
 @query
 def completeness(spark, d):
-    return _rounded(features.completeness(mining.frequent_grams(_sents(spark, d), max_len=4)), 6, "complete_sub", "complete_super")
+    return _rounded(features.completeness(_patterns(spark, d)), 6, "complete_sub", "complete_super")
 
 
 @query
@@ -150,64 +163,64 @@ def tag_bigram_features(spark, d):
 @query
 def unigram_features(spark, d):
     s = _sents(spark, d)
-    t, p = annotate.tokens(s), mining.frequent_grams(s, max_len=2)
-    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p, 2))
+    t, p = annotate.tokens(s), _patterns(spark, d)
+    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p))
     return _rounded(f, 6, *[c for c in f.columns if c not in ("gram", "stop")])
 
 
 @query
 def distant_labels(spark, d):
-    p = mining.frequent_grams(_sents(spark, d), max_len=3)
+    p = _patterns(spark, d)
     return labels.distant_labels(p, p.where("freq % 3 = 0"), p.where("freq % 2 = 0")).select("gram", "label")
 
 
 @query
 def label_cap(spark, d):
-    return labels.capped(mining.frequent_grams(_sents(spark, d), max_len=3).where("freq % 3 = 0"), 100, F.md5("gram")).select("gram")
+    return labels.capped(_patterns(spark, d).where("freq % 3 = 0"), 100, F.md5("gram")).select("gram")
 
 
 @query
 def length_sample(spark, d):
-    return labels.sampled_by_length(mining.frequent_grams(_sents(spark, d), max_len=4), 500, F.md5("gram")).select("gram", "n")
+    return labels.sampled_by_length(_patterns(spark, d), 500, F.md5("gram")).select("gram", "n")
 
 
 @query
 def length_share(spark, d):
-    return _rounded(quality.length_share(mining.frequent_grams(_sents(spark, d), max_len=4)).drop("freq"), 9, "share")
+    return _rounded(quality.length_share(_patterns(spark, d)).drop("freq"), 9, "share")
 
 
 @query
 def length_penalty_score(spark, d):
-    p = quality.length_share(_scored(mining.frequent_grams(_sents(spark, d), max_len=3)))
+    p = quality.length_share(_scored(_patterns(spark, d)))
     return _rounded(quality.length_penalised(p, 2.0).select("gram", "score"), 5, "score")
 
 
 @query
 def quality_filter(spark, d):
-    p = _scored(mining.frequent_grams(_sents(spark, d), max_len=4))
+    p = _scored(_patterns(spark, d))
     n, f, q, i = (F.col(c) for c in ("n", "freq", "quality", "indicator"))
     return p.select("gram", quality.trie_eligible(n, f).alias("eligible"), quality.passes_quality_trie(n, q, i).alias("in_trie"), quality.passes_output(n, q).alias("in_output"), quality.passes_output(n, q, i).alias("in_tuples"))
 
 
 @query
 def ranking_lists(spark, d):
-    return quality.ranked(_scored(mining.frequent_grams(_sents(spark, d), max_len=4))).select("bucket", "gram", "quality", "rank")
+    return quality.ranked(_scored(_patterns(spark, d))).select("bucket", "gram", "quality", "rank")
 
 
 @query
 def rescaled_top(spark, d):
-    return _rounded(quality.rescaled_top(_scored(mining.frequent_grams(_sents(spark, d), max_len=3)), 300).select("gram", "quality"), 6, "quality")
+    return _rounded(quality.rescaled_top(_scored(_patterns(spark, d)), 300).select("gram", "quality"), 6, "quality")
 
 
 @query
 def model_counts(spark, d):
-    return quality.model_counts(_scored(mining.frequent_grams(_sents(spark, d), max_len=4)))
+    return quality.model_counts(_scored(_patterns(spark, d)))
 
 
 @query
 def unigram_overrides(spark, d):
     s = _sents(spark, d)
-    p = mining.frequent_grams(s, max_len=1)
+    p = _patterns(spark, d).where("n = 1")
     return quality.unigram_overrides(_scored(p).join(mining.first_tags(s, p, 1), "gram")).select("gram", "indicator", "quality")
 
 
@@ -244,13 +257,13 @@ def frequency_bands(spark, d):
 @query
 def relation_phrases(spark, d):
     s = _sents(spark, d)
-    return supervise.frequent_phrases(supervise.relation_phrases(s, supervise.mention_pairs(mentions.noun_chunks(s))))
+    return supervise.frequent_phrases(supervise.relation_phrases(mentions.with_chunks(s)))
 
 
 @query
 def dictionary_link(spark, d):
     s = _sents(spark, d)
-    return supervise.linked_by_dictionary(s, mining.frequent_grams(s, max_len=3).where("n > 1 AND freq % 3 = 0"), 3)
+    return supervise.linked_by_dictionary(s, _patterns(spark, d).where("n > 1 AND freq % 3 = 0"))
 
 
 @query
@@ -258,7 +271,7 @@ def seed_link(spark, d):
     s = _sents(spark, d).withColumn("doc_id", F.floor(F.col("sent_id") / annotate.SENT))
     sim = F.lit(0.7) + (F.col("doc_id") % 4) * 0.1
     seeds = s.where((F.col("sent_id") % annotate.SENT == 0) & (F.size("tokens") > 1)).select(F.col("doc_id").alias("doc"), F.array_join(F.slice("tokens", 1, 2), " ").alias("surface"), F.round(sim, 1).alias("sim"), F.when(F.col("doc_id") % 2 == 0, 0.0001).otherwise(0.01).alias("second_rank"))
-    return supervise.linked_by_seed(s, seeds, 3)
+    return supervise.linked_by_seed(s, seeds)
 
 
 def _phrase_sets(spark, d):
@@ -294,7 +307,7 @@ def ordered_merge(spark, d):
 
 @query
 def underscored_phrases(spark, d):
-    p = mining.frequent_grams(_sents(spark, d), max_len=3)
+    p = _patterns(spark, d)
     phrase = fn.underscored(F.col("gram"))
     return p.select("gram", phrase.alias("phrase"), fn.adjusted_score(F.col("freq").cast("double"), phrase, parts=2).alias("score"), F.array_join(fn.with_index(F.split("gram", " ")), " ").alias("indexed"), fn.ascii_only(F.col("gram")).alias("ascii"))
 
@@ -320,7 +333,7 @@ def sentence_split(spark, d):
 
 def _segmented(spark, d):
     s = _sents(spark, d)
-    p = quality.length_share(_scored(mining.frequent_grams(s, max_len=3)))
+    p = quality.length_share(_scored(_patterns(spark, d)))
     return p, segment.segmented(s, segment.scored_patterns(p), veto=False)
 
 
@@ -340,14 +353,14 @@ def rectified_freq(spark, d):
 @query
 def subtree_priors(spark, d):
     s = train.with_heads(_sents(spark, d))
-    return deptree.initial_priors(deptree.shape_totals(s, 3))
+    return deptree.initial_priors(deptree.shape_totals(s))
 
 
 @query
 def forest_quality(spark, d):
     s = _sents(spark, d)
-    t, p = annotate.tokens(s), mining.frequent_grams(s, max_len=2)
-    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p, 2))
+    t, p = annotate.tokens(s), _patterns(spark, d)
+    f = features.unigram_features(p, t, flags.token_flags(t), vocab.idf(t), mining.occurrences(s, p))
     columns = [c for c in f.columns if c != "gram"]
     model = quality.forest(f, labels.distant_labels(p, p.where("freq % 3 = 0"), p.where("freq % 2 = 0")), columns, num_trees=20, max_depth=10)
     return quality.predicted(model, f, columns)
@@ -367,7 +380,7 @@ def extract_mentions(spark, d):
 @query
 def dep_tuples(spark, d):
     s = _with_mentions(spark, d)
-    p = quality.length_share(_scored(mining.frequent_grams(s, max_len=3)))
+    p = quality.length_share(_scored(_patterns(spark, d)))
     relations = dict(map(tuple, segment.scored_patterns(p, tuple_mode=True).select("gram", "score").collect()))
     kept = {r.gram for r in p.where(quality.passes_output(F.col("n"), F.col("quality"), F.col("indicator"))).select("gram").collect()}
     return tuples.tuple_lines(tuples.assemble(tuples.dependency_paths(s), s, relations, kept))

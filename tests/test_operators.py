@@ -178,11 +178,59 @@ def test_chunks(spark):
     assert got == [(0, 3, "the big dog"), (4, 4, "new york in june")]
 
 
+def test_phrases_between_all_pairs():
+    """Against every pair of spans, gaps of any length included."""
+    rng = random.Random(6)
+    for k in range(300):
+        tags = [rng.choice(["NN", "NNS", "VBD", "VBZ", "IN", "RP", "DT", "JJ", ".", "CD", "NNP"]) for _ in range(rng.randint(0, 40))]
+        spans, at = [], 0
+        while at < len(tags):
+            n = rng.randint(1, 3)
+            if rng.random() < 0.3:
+                spans.append((at, min(len(tags), at + n)))
+            at += n
+        for legacy in (False, True):
+            want = {}
+            for _, e in spans:
+                for s, _ in spans:
+                    if s > e:
+                        said = " ".join(tags[e:s]) + " " * (not legacy)
+                        if m := supervise._FIRST(said):
+                            first = e + said[: m.start()].count(" ")
+                            key = (first, said[m.start() : m.end()].rstrip().count(" ") + 1)
+                            want[key] = want.get(key, 0) + 1
+            got = {}
+            for first, n, times in supervise.phrases_between(tags, spans, legacy):
+                got[first, n] = got.get((first, n), 0) + times
+            assert got == want
+
+
+def test_level_mining_against_counting(spark):
+    rng = random.Random(8)
+    lines = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 25))] for _ in range(400)]
+    s = spark.createDataFrame([(i, w, w) for i, w in enumerate(lines)], "sent_id long, tokens array<string>, tags array<string>").repartition(3)
+    count, first = {}, {}
+    for i, w in enumerate(lines):
+        for n in range(1, 6):
+            for k in range(len(w) - n + 1):
+                g = " ".join(w[k : k + n])
+                count[g] = count.get(g, 0) + 1
+                first.setdefault(g, []).append((i, k))
+    p = mining.frequent_grams(s, 6)
+    frequent = {g: c for g, c in count.items() if c >= 6}
+    assert {r.gram: r.freq for r in p.collect()} == frequent
+    occ = {}
+    for r in mining.occurrences(s, p).collect():
+        occ.setdefault(r.gram, []).append((r.sent_id, r.st))
+    assert {g: sorted(v) for g, v in occ.items()} == {g: first[g] for g in frequent}
+    assert {r.gram: r.tags for r in mining.first_tags(s, p).collect()} == {g: g for g in frequent}
+
+
 def test_relations(spark):
     s = spark.createDataFrame([(0, "obama was born in hawaii".split(), "NNP VBD VBN IN NNP".split())], "sent_id long, tokens array<string>, tags array<string>")
-    pairs = supervise.mention_pairs(spark.createDataFrame([(0, 0, 1), (0, 4, 1)], "sent_id long, st int, n int"))
-    assert [(r.text, r.tags) for r in supervise.relation_phrases(s, pairs).collect()] == [("was born in", "VBD VBN IN")]
-    assert [r.text for r in supervise.relation_phrases(s, pairs, legacy=True).collect()] == ["was born"]
+    s = s.withColumn("chunks", F.expr("array(named_struct('st', 0, 'n', 1), named_struct('st', 4, 'n', 1))"))
+    assert [(r.text, r.tags) for r in supervise.relation_phrases(s).collect()] == [("was born in", "VBD VBN IN")]
+    assert [r.text for r in supervise.relation_phrases(s, legacy=True).collect()] == ["was born"]
 
 
 def test_seeds_and_rank(spark):
