@@ -4,18 +4,24 @@ A document is its set of distinct k-word shingles; equal sets are one from the s
 tokens are drawn from each set. In each of ``trees`` independent trees a set descends along chosen
 coordinates: its node is the path of its minwise tokens there, so two sets of similarity s share a node of
 depth d with chance s^d, and no node is shared in any of t trees with chance (1 - s^d)^t (below 1e-9 at the
-defaults for s = 0.8). Nodes of one set end. The sets that share nodes, directly or through others, form a
-group; a group whose shingles fit ``node_shingles`` is compared exhaustively on full sets. Larger groups are
-compared node by node. Nodes too large for that are first branched (further coordinates chosen by the node,
-then blocks that hold the node's pivots), which links most copies cheaply but proves nothing about the rest;
-then the sets of oversized nodes that share members are compared exhaustively, block against block, leaving out
-only pairs that are linked already or whose sizes rule them out. So every pair that shares a node of the first
-levels is settled, whatever the node's size. Comparison is a breadth-first search that leaves out what is linked
-already, so that copies cost a pass each, not all pairs. Every link is confirmed on whole sets.
+defaults for s = 0.8, taking trees as independent). Nodes of one set end, and nodes of the same sets are one.
+
+The sets of a node are compared exhaustively by their minwise tokens: pairs that agree in fewer than five standard
+deviations below what the threshold lets expect are ruled out, so that chance meetings of unlike documents
+chain nothing together; nodes of more than ``node_sets`` sets keep all their members joined. What remains
+joined, directly or through others, is a group, and is compared on full sets: exhaustively, where its shingles fit
+``node_shingles``, and otherwise block by block. Larger groups are first compared within their nodes, which are
+branched (further coordinates chosen by the node) and dealt in blocks that hold the node's pivots; this links most
+copies cheaply. Then the sets of their oversized nodes are compared exhaustively, block against block, in tasks
+of bounded size, leaving out only pairs that are linked already or whose sizes rule them out. So every pair that
+shares a node and was not ruled out is settled, whatever the node's size. Comparison is a breadth-first search that
+leaves out what is linked already, so that copies cost a pass each, not all pairs. Every link is confirmed on
+whole sets.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import chunks, only, shingle_sets, table, written
 from .components import components
 
-DEFAULTS = {"shingle": 5, "percent": 80, "coordinates": 48, "trees": 30, "depth": 3, "levels": 4, "node_shingles": 3_000_000}
+DEFAULTS = {"shingle": 5, "percent": 80, "coordinates": 48, "trees": 30, "depth": 3, "levels": 4, "node_sets": 2_000, "node_shingles": 3_000_000}
 
 
 def _plan(coordinates: int, trees: int, depth: int) -> list[list[int]]:
@@ -88,6 +94,60 @@ def _first_nodes(sets: DataFrame, plan: list[list[int]]) -> DataFrame:
     return sets.select("rep", "sketch").mapInArrow(run, "path long, rep long")
 
 
+def least_agreement(coordinates: int, threshold: float, deviations: float = 5.0) -> int:
+    """Minwise tokens in which a pair at the threshold agrees with all but negligible chance."""
+    return max(0, math.floor(coordinates * threshold - deviations * math.sqrt(coordinates * threshold * (1 - threshold))))
+
+
+def joined_by_tokens(tokens, least: int) -> list[int]:
+    """The index of each row's component (its least index): rows that agree in at least ``least`` columns are joined."""
+    import numpy as np
+
+    root = np.arange(len(tokens))
+    rest = np.arange(len(tokens))
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        queue = [seed]
+        while queue and len(rest):
+            hit = (tokens[rest] == tokens[queue.pop()]).sum(1) >= least
+            root[rest[hit]] = seed
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return root.tolist()
+
+
+def _candidate_links(near: DataFrame, sets: DataFrame, o: dict) -> DataFrame:
+    """a, b: sets of a node that agree in enough minwise tokens, each with the least of those joined there. near: path, rep, low, n."""
+    least = least_agreement(o["coordinates"], o["percent"] / 100)
+    once = near.groupBy("path").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("who")).groupBy("n", "low", "who").agg(F.min("path").alias("path")).select("path")
+    members = near.join(once, "path")
+    wide = members.where(F.col("n") > o["node_sets"]).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    held = members.where(F.col("n") <= o["node_sets"]).join(sets.select("rep", "sketch"), "rep").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rep", "sketch"))).alias("m"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            m = b.column(0)
+            off = m.offsets.to_numpy() - m.offsets[0].as_py()
+            rows = m.flatten()
+            reps = rows.field("rep").to_numpy()
+            tokens = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint32).reshape(len(reps), -1)
+            root = np.arange(len(reps))
+            pair = np.flatnonzero(np.diff(off) == 2)  # most nodes: at once
+            first = off[pair]
+            hit = first[(tokens[first] == tokens[first + 1]).sum(1) >= least]
+            root[hit + 1] = hit
+            for k in np.flatnonzero(np.diff(off) > 2).tolist():
+                x, y = int(off[k]), int(off[k + 1])
+                root[x:y] = x + np.array(joined_by_tokens(tokens[x:y], least))
+            at = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[root[at]])], ["a", "b"])
+
+    return held.select("m").mapInArrow(run, "a long, b long").union(wide)
+
+
 def _children(members: DataFrame, coordinates: int, threshold: float) -> DataFrame:
     """path, rep, weight, sketch one level down: each coordinate is chosen by the node with chance 1 / (threshold x coordinates)."""
 
@@ -215,8 +275,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     # a doc_id that stands for several sets (rows that share it) is one node of the graph
     members = _first_nodes(sets, _plan(o["coordinates"], o["trees"], o["depth"]))
     nodes = members.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-    near = written(members.join(nodes, "path").select("path", "rep", "low"), "nodes")
-    group = components(near.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    near = written(members.join(nodes, "path").select("path", "rep", "low", "n"), "nodes")
+    group = components(_candidate_links(near, sets, o))
     grouped = written(sets.join(group, sets["rep"] == group["node"]).select("rep", "set_key", "weight", F.col("component").alias("group")), "groups")
     size = grouped.groupBy("group").agg(F.sum("weight").alias("total"))
     placed = written(grouped.join(size, "group"), "placed")
