@@ -12,16 +12,17 @@ from ..operators.annotate import parsed_dependency
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0, over the file's lines), line; carriage returns are stripped.
+    """line_no (from 0), line; carriage returns are stripped. The files of a folder follow one another by path.
 
-    Lines are numbered by their byte offset order: a count per partition, then the place within it.
+    Lines are numbered by a count per piece of a file, pieces in the order of path and offset, then the place within the piece.
     """
-    rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     from pyspark.sql import Window
 
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = counts.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "part").select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")  # a row per partition
+    piece = ["file", "block"]
+    rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    counts = rows.groupBy(*piece).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = counts.select(*piece, "first", F.coalesce(F.sum("n").over(Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, piece).select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")  # a row per piece of a file
 
 
 def words(spark: SparkSession, path: str, column: str = "tokens") -> DataFrame:

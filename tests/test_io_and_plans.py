@@ -23,6 +23,14 @@ def test_corpus_files(spark, tmp_path):
     assert ok.orderBy("sent_id").first().deps[0].asDict() == {"idx": 0, "head": 2, "type": "nsubj"}
 
 
+def test_lines_of_folders(spark, tmp_path):
+    """The files of a folder are numbered by path, whatever their sizes (the scan takes the largest first)."""
+    (tmp_path / "f").mkdir()
+    _write(tmp_path / "f", "part-0", "a\nb\n")
+    _write(tmp_path / "f", "part-1", "c" * 5000 + "\nd\n")
+    assert [(r.line_no, r.line[0]) for r in readers.lines(spark, f"{tmp_path}/f").orderBy("line_no").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+
+
 def test_small_files(spark, tmp_path):
     assert [(r.label, r.gram) for r in readers.expert_labels(spark, _write(tmp_path, "e", "1 3 4\n0 7\n\n")).orderBy("label").collect()] == [(0, "7"), (1, "3 4")]
     assert {r.gram for r in readers.dictionary(spark, _write(tmp_path, "q", "1 2\n3 x 4\n5 -1\n")).collect()} == {"1 2", "3 4"}
