@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as fn
-from ..storage import stored
+from ..storage import spread, stored
 from ..operators import annotate, deptree, evaluate, features, flags, labels, mentions, mining, quality, rank, segment, supervise, tuples, vocab
 from . import oracle, train
 
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sents(spark: SparkSession, d: str) -> DataFrame:
-    return annotate.sentences(_table(spark, d, "documents"))
+    return annotate.sentences(spread(_table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _toks(spark: SparkSession, d: str) -> DataFrame:
