@@ -107,7 +107,48 @@ def test_multi_index_finds_all_within_radius():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    fp = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
-    index = decontaminate.MultiIndex(fp, 24)
-    for q in rng.integers(0, 1 << 63, 50, dtype=np.uint64):
-        assert index.near(q).tolist() == np.flatnonzero(np.bitwise_count(fp ^ q) <= 24).tolist()
+    fp = rng.integers(0, 2, (400, decontaminate.BITS), dtype=np.uint8)
+    for radius in (decontaminate.radius_for(0.8), 110, 127, 200):
+        index = decontaminate.MultiIndex(fp, radius)
+        for q in [*rng.integers(0, 2, (20, decontaminate.BITS), dtype=np.uint8), *(fp[:20] ^ (rng.random((20, decontaminate.BITS)) < 0.25))]:
+            assert index.near(q).tolist() == np.flatnonzero((fp != q).sum(1) <= radius).tolist()
+    index = decontaminate.MultiIndex(fp, decontaminate.radius_for(0.8))
+    assert sum(len(index.candidates(q)) for q in rng.integers(0, 2, (100, decontaminate.BITS), dtype=np.uint8)) < 40  # of 40,000
+
+
+def test_decontamination_against_every_window(spark):
+    """All windows of an item's size against all items by weighted similarity; short items are whole texts."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    said = [prose(400 + i, 30).split() for i in range(6)]
+    bench = [(i, " ".join(w)) for i, w in enumerate(said)] + [(6, "a b c a b c a b c a b c"), (7, "one two three"), (8, "word"), (9, "")]
+    rows = [(100, "One, two three!"), (101, "one two three four"), (102, "say one two three"), (103, "word"), (104, "word word"), (105, None), (106, "")]
+    for i in range(60):
+        w = list(rng.choice(said))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "else", "of the"])
+        rows.append((i, f"{prose(500 + i, rng.randint(0, 40))} {' '.join(w)} {'a b c ' * rng.randint(0, 6)} {prose(600 + i, rng.randint(0, 9))}"))
+    rows += [(107, rows[10][1]), (107, rows[10][1]), (108, f"{prose(1, 40000)} {bench[0][1]} {prose(2, 40000)}")]
+
+    def bag(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter([tuple(words)] if words else [])
+
+    expected = []
+    for d, t in rows:
+        words = decontaminate.normalised(t).split()
+        for j, item in bench:
+            b = decontaminate.normalised(item).split()
+            best = 0.0
+            want = bag(b)
+            for s in range(max(1, len(words) - len(b) + 1) if len(b) >= 5 else 1):
+                got = bag(words[s : s + len(b)] if len(b) >= 5 else words)
+                if both := sum((got & want).values()):
+                    best = max(best, both / sum((got | want).values()))
+            if best >= 0.8:
+                expected.append((d, j, round(best, 9)))
+    df, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for block_words in (1_000_000, 60):
+        got = decontaminate.matches(df, items, block_words=block_words).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == sorted(expected)
+    assert {j for _, j, _ in expected} >= {0, 6, 7, 8}
