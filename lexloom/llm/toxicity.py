@@ -18,12 +18,13 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import chunks, only, table, written
 from .decontaminate import PUNCTUATION
 
-DEFAULTS = {"min_z": 3.5, "prior": 0.1, "drift": 0.05, "stems": (4, 5, 6, 7), "max_terms": 100_000, "folds": 5, "bin": 0.25, "bins": 400}
+DEFAULTS = {"min_z": 3.5, "prior": 0.1, "drift": 0.05, "stems": (4, 5, 6, 7), "block_terms": 100_000, "folds": 5, "bin": 0.25, "bins": 400}
 #: Tokens counted by a task before they are handed on, and words whose weight a task remembers.
 HELD = 300_000
 
@@ -66,20 +67,22 @@ def token_counts(train: DataFrame, stems: tuple[int, ...]) -> DataFrame:
     return train.select("text", "toxic").mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def weights(counts: DataFrame, o: dict) -> tuple[dict[str, float], list[tuple[float, float]], float]:
-    """Token weights, (share of the clean tokens, weight) of each, share of the rest. The model holds at most max_terms tokens, those of highest z."""
+def weights(counts: DataFrame, o: dict) -> tuple[DataFrame, list[tuple[float, float]], float]:
+    """(token, delta) of every token with evidence, (share of the clean tokens, weight) of them in narrow bins of weight, share of the rest."""
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(total.t or 0), float(total.c or 0)
     if not t or not c:
-        return {}, [], 1.0
+        return counts.select("token", F.lit(0.0).alias("delta")).limit(0), [], 1.0
     a = (F.col("toxic") + F.col("clean")) * o["prior"]
     every = (t + c) * o["prior"]
     odds = lambda y, n: F.log((y + a) / (n + every - y - a))
     delta = odds(F.col("toxic"), t) - odds(F.col("clean"), c)
     z = delta / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    rows = counts.select("token", "clean", delta.alias("delta"), z.alias("z")).where((F.col("z") >= o["min_z"]) & (F.col("delta") > 0)).orderBy(F.desc("z"), "token").limit(o["max_terms"]).collect()
-    mass = [((r.clean + 0.5) / c, r.delta) for r in rows]
-    return {r.token: r.delta for r in rows}, mass, max(1e-9, 1 - sum(p for p, _ in mass))
+    found = counts.select("token", "clean", delta.alias("delta"), z.alias("z")).where((F.col("z") >= o["min_z"]) & (F.col("delta") > 0))
+    share = (F.col("clean") + 0.5) / c
+    bins = found.groupBy(F.round("delta", 3).alias("bin")).agg(F.sum(share).alias("p"), F.sum(share * F.col("delta")).alias("ps")).orderBy("bin").collect()  # log-odds in thousandths: some ten thousand at most
+    mass = [(r.p, r.ps / r.p) for r in bins]
+    return found.select("token", "delta"), mass, max(1e-9, 1 - sum(p for p, _ in mass))
 
 
 def decay(mass: list[tuple[float, float]], rest: float, drift: float) -> float:
@@ -122,15 +125,34 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
     return [(f, e, r - l) for f, e, l, r, _ in kept]
 
 
-def segments(docs: DataFrame, terms: dict[str, float], o: dict) -> DataFrame:
-    """doc_id, n_words, passages (first word, last word, score): the maximal segments of each text."""
-    held = docs.sparkSession.sparkContext.broadcast(terms)  # at most max_terms words
-    drift = o["drift"]
+def segments(docs: DataFrame, terms: DataFrame, o: dict) -> DataFrame:
+    """doc_id, n_words, passages (first word, last word, score): the maximal segments of each text.
+
+    Terms travel to the executors in hash blocks of about ``block_terms``, each a narrow pass over the texts that
+    keeps a word's best weight so far; passes but the last are written, so that one block at a time is held anywhere.
+    """
+    spark = docs.sparkSession
+    blocks = max(1, math.ceil(terms.count() / o["block_terms"]))
+    for k in range(blocks):
+        part = terms.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == k)
+        held = spark.sparkContext.broadcast({r.token: r.delta for r in part.collect()})  # about block_terms words
+        docs = _weighed(docs, held, o, k, k == blocks - 1)
+        if k < blocks - 1:
+            docs = written(docs, "weighed")
+            held.destroy()
+    return docs
+
+
+def _weighed(docs: DataFrame, held: Broadcast, o: dict, k: int, last: bool) -> DataFrame:
+    """One pass: the held terms' weights, with those of the k passes before; the last pass gives the segments."""
+    drift, stems = o["drift"], o["stems"]
+    weight = "array<struct<at:long,weight:double>>"
+    passages = "array<struct<first:long,last:long,score:double>>"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        get, stems, known = held.value.get, o["stems"], {}
+        get, known = held.value.get, {}
 
         def weigh(word):
             if word in known:
@@ -141,19 +163,30 @@ def segments(docs: DataFrame, terms: dict[str, float], o: dict) -> DataFrame:
             known[word] = best
             return best
 
+        hit = pa.list_(pa.struct([("at", pa.int64()), ("weight", pa.float64())]))
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for b in batches:
             n, found = [], []
-            for _, texts in chunks(b.column(1)):
-                for t in texts:
+            for at, texts in chunks(b.column(1)):
+                for i, t in enumerate(texts):
                     words = _words(t)
                     n.append(len(words))
-                    w = map(weigh, words)
-                    hits = [(i, x) for i, x in enumerate(w) if x is not None]
-                    found.append([{"first": f, "last": e, "score": s} for f, e, s in maximal_segments(hits, drift)] if hits else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "passages"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, passages array<struct<first:long,last:long,score:double>>")
+                    hits = [(j, x) for j, x in enumerate(map(weigh, words)) if x is not None]
+                    if k:
+                        best = {x["at"]: x["weight"] for x in b.column(2)[at + i].as_py()}
+                        for j, x in hits:
+                            best[j] = max(x, best.get(j, x))
+                        hits = sorted(best.items())
+                    if last:
+                        found.append([{"first": f, "last": e, "score": s} for f, e, s in maximal_segments(hits, drift)] if hits else [])
+                    else:
+                        found.append([{"at": j, "weight": x} for j, x in hits])
+            if last:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, kind)], ["doc_id", "n_words", "passages"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, hit)], ["doc_id", "text", "hits"])
+
+    return docs.mapInArrow(run, f"doc_id long, n_words long, passages {passages}" if last else f"doc_id long, text string, hits {weight}")
 
 
 def _logistic(bins: list[tuple[float, int, int]], rounds: int = 50) -> tuple[float, float]:

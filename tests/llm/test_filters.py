@@ -198,6 +198,11 @@ def test_toxicity_held_out(spark, no_docs):
     assert held and sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in got) and {r.predicted for r in got if r.doc_id in (9000, 9001)} == {0}
     assert toxicity.score(no_docs, labels).count() == 0
+    value = lambda rows: sorted(map(str, rows))
+    assert value(toxicity.score(df, labels, block_terms=7).collect()) == value(got)  # several blocks of terms, nothing left out
+    long = spark.createDataFrame([(0, " ".join(prose(700 + k, 60) for k in range(2000))), *[(7, prose(1, 60))] * 3, (None, None)], "doc_id long, text string")
+    again = toxicity.score(df.unionByName(long, allowMissingColumns=True), labels).collect()
+    assert len(again) == len(got) + 5 and len({r.score for r in again if r.doc_id == 7 and r.passages == []}) <= 1
     assert {r.score for r in toxicity.score(df, labels.where("doc_id < 0")).collect()} == {0.0}
 
 
