@@ -67,6 +67,33 @@ def test_bytes_periodic(spark):
         assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))] == expected[r.doc_id]
 
 
+def test_bytes_frequent_words_do_not_travel(spark):
+    """Texts that have the same frequent words but no long string in common share no key, so none is sent or sorted."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(150))) for i in range(300)], "doc_id long, text string")
+    found = suffix_dedup.stretches(docs, suffix_dedup.DEFAULTS)
+    assert found.groupBy("key").count().where("count > 1").count() == 0 < found.count()
+
+
+def test_bytes_frequent_passage_is_divided(spark, monkeypatch):
+    """A passage of 260 bytes in many texts is a key with much text; no array gets all of it, and results stay exact."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    passage, tail = letters(260), letters(170)
+    rows = [(i, letters(rng.randint(200, 500)) + passage + (tail if i % 4 == 0 else letters(rng.randint(0, 500)))) for i in range(60)] + [(60, "ab" * 700 + passage + "ab" * 700)]
+    expected, sizes, sort = brute_bytes(rows), [], suffix_dedup.repeated_places
+    monkeypatch.setattr(suffix_dedup, "repeated_places", lambda strings, weights, o: sizes.append(sum(map(len, strings))) or sort(strings, weights, o))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for bucket_bytes in (500, 5000, 2 << 20):
+        for r in suffix_dedup.dedup(docs, bucket_bytes=bucket_bytes).collect():
+            assert [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))] == [(r.doc_id, *x) for x in expected[r.doc_id]]
+    o = suffix_dedup.DEFAULTS | {"bucket_bytes": 5000}
+    group = [b"\x01" + i.to_bytes(8, "little") + bytes(4) + t.encode() for i, t in rows]
+    list(suffix_dedup._resolve([group], o))
+    assert sizes and max(sizes) < 0.3 * sum(len(t) for _, t in rows)
+
+
 def test_empty_tables(no_docs):
     assert substring_dedup.dedup(no_docs).collect() == []
     assert suffix_dedup.dedup(no_docs).collect() == []
