@@ -16,11 +16,11 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, only, table
+from .common import chunks, give_back, only, table
 from .pieces import PieceCache
 
-#: Bytes of texts encoded together.
-CHUNK = 8 << 20
+#: Bytes of texts encoded together; no result depends on it. What encoding holds at a time is some twenty times as much.
+CHUNK = 2 << 20
 
 
 @lru_cache(maxsize=1)
@@ -152,7 +152,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
     """Encode and decode in one pass: doc_id, n_tokens, digests ids_sha256 and decoded_sha256, round_trips, and on demand ids.
 
     Null and empty texts have no tokens; repeated rows give repeated results; a null doc_id stays null;
-    columns besides doc_id and text are ignored. One narrow pass, no shuffle; the cache is bounded.
+    columns besides doc_id and text are ignored. One narrow pass, no shuffle; the cache is bounded, and other
+    memory is given back after each batch.
     """
     import pyarrow as pa
 
@@ -163,7 +164,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
 
         bpe = load(path, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+
+        def one(b: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, back, same, kept = [], [], [], [], []
             for _, texts in chunks(b.column(1), CHUNK):
                 for text, packed in zip(texts, bpe.pack_all([t.decode() for t in texts])):
@@ -178,7 +180,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False)
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trips"]
             if keep_ids:
                 columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for b in batches:
+            yield one(b)
+            del b
+            give_back()
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, schema)
 

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -35,6 +37,33 @@ def test_round_trip_operator(docs, rows, no_docs):
     assert byte_bpe.round_trip(no_docs, PATH, PATTERN).count() == 0
 
 
+def test_round_trip_gives_memory_back():
+    """A reused worker stays beside the executor's next stages: what it holds after a pass is the model and the cache."""
+    code = """
+import random, re
+from pathlib import Path
+from types import SimpleNamespace
+import public_tokenizers, pyarrow as pa
+from lexloom.llm import byte_bpe
+
+anon = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+byte_bpe.only = lambda *_, **__: SimpleNamespace(mapInArrow=lambda run, schema: run)
+run = byte_bpe.round_trip(None, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+rng = random.Random(5)
+words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(20_000)]
+texts = [" ".join(rng.choices(words, k=300)) for _ in range(4_500)]
+batch = lambda t: pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"])
+few, many = batch([" ".join(words)]), batch(texts)
+del texts, words
+list(run(iter([few])))
+before = anon()
+assert sum(b.num_rows for b in run(iter([many]))) == 4_500
+print(anon() - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout)
+    assert grown < 30, f"{grown} MB more than before the pass"
+
+
 def test_encode_then_decode(docs, rows):
     back = byte_bpe.decode(byte_bpe.encode(docs, PATH, PATTERN), PATH, PATTERN).collect()
     assert sorted((r.doc_id or -1, bytes(r.bytes)) for r in back) == sorted((i or -1, (t or "").encode()) for i, t in rows)
