@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunks, give_back, only, table
 from .pieces import PieceCache
 
-#: Bytes of texts encoded together; no result depends on it. What encoding holds at a time is some twenty times as much.
+#: Bytes of texts encoded together; no result depends on it. What encoding holds at a time is many times as much.
 CHUNK = 2 << 20
 
 
