@@ -250,6 +250,13 @@ def test_evaluation(spark):
     assert (r.n_pred, r.n_gold, r.n_both) == (2, 3, 1) and r.recall == pytest.approx(1 / 3)
 
 
+def test_chunks_of_a_long_run_of_nouns(spark):
+    """Java's matcher needed a deeper stack for each of them."""
+    n = 60_000
+    s = spark.createDataFrame([(7, ["x"] * n + [".", "y"], ["NN", "NNS"] * (n // 2) + [".", "NN"])], "sent_id long, tokens array<string>, tags array<string>")
+    assert [(r.sent_id, r.st, r.n) for r in mentions.noun_chunks(s).collect()] == [(7, 0, n), (7, n + 1, 1)]
+
+
 def test_relation_phrases_of_a_long_sentence():
     """Chunks behind which no relation stands were searched to the sentence's end each: 20,000 of them took minutes."""
     began = time.process_time()
@@ -257,3 +264,36 @@ def test_relation_phrases_of_a_long_sentence():
     spans = [(i, i + 1) for i, t in enumerate(tags) if t == "NN"]
     assert supervise.phrases_between(tags, spans) == [(40_000, 2, 20_000)]
     assert time.process_time() - began < 10
+
+
+def test_scores_are_those_of_the_c_library(spark):
+    """Java's logarithm differs in the last bit in some of these, which turns ties between segmentations."""
+    rng = random.Random(15)
+    rows = [(f"g{i}", 1, 1, rng.random(), rng.random()) for i in range(2000)]
+    p = spark.createDataFrame(rows, "gram string, n int, freq long, share double, quality double")
+    got = {r.gram: r.score for r in segment.scored_patterns(p).collect()}
+    assert got == {g: math.log(s + 1e-8) + math.log(q + 1e-8) for g, _, _, s, q in rows}
+
+
+def test_quality_rounds_as_sql_does(spark):
+    from lexloom.plans.queries import _as_sql_rounds
+
+    import duckdb
+
+    rows = [(a, 2**i * 5**j) for i in range(5, 10) for j in range(1, 5) for a in range(1, 100, 2)]
+    got = spark.createDataFrame(rows, "a long, b long").select(_as_sql_rounds(F.col("a") / F.col("b"), 6)).collect()
+    assert [x for (x,) in got] == [duckdb.execute(f"SELECT round({a} / {b}, 6)").fetchone()[0] for a, b in rows]
+
+
+def test_segmentation_against_a_trie(spark):
+    rng = random.Random(14)
+    sents = [(i, [rng.choice("abcde.") for _ in range(rng.randint(0, 30))]) for i in range(300)]
+    grams = {" ".join(rng.choice("abcde.") for _ in range(rng.randint(1, 4))): float(rng.randint(-6, -1)) for _ in range(120)}
+    s = spark.createDataFrame(sents, "sent_id long, tokens array<string>")
+    scores = spark.createDataFrame(list(grams.items()), "gram string, score double")
+    trie = segment.Trie(grams)
+    for veto in (False, True):
+        got = {r.sent_id: (r.score, [(x.st, x.ed + 1, x.known, x.gram) for x in r.segments]) for r in segment.segmented(s, scores, veto=veto).collect()}
+        for i, w in sents:
+            score, segs = segment.viterbi(w, trie, punct=[x == "." for x in w] if veto else None)
+            assert got[i] == (score, [(a, b, k, " ".join(w[a:b])) for a, b, k in segs])
