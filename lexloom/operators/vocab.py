@@ -33,6 +33,13 @@ def decoded(coded: DataFrame, vocab: DataFrame) -> DataFrame:
     return rows.groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("a")).select("sent_id", F.transform("a", lambda x: x["token"]).alias("tokens"))
 
 
+def sentence_idf(sents: DataFrame) -> DataFrame:
+    """idf's table of sentences (tokens): a word counts once in its row, so that only counts travel, not the words of each sentence."""
+    n = sents.where(F.size("tokens") > 0).agg(F.count("*").alias("n_sents"))
+    df = sents.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("token", "df", F.log(F.col("n_sents") / F.col("df") + 1e-8).alias("idf"))  # one row beside each
+
+
 def idf(toks: DataFrame) -> DataFrame:
     """token, df, idf = ln(sentences / df + 1e-8)."""
     n = toks.select("sent_id").distinct().agg(F.count("*").alias("n_sents"))

@@ -297,3 +297,23 @@ def test_segmentation_against_a_trie(spark):
         for i, w in sents:
             score, segs = segment.viterbi(w, trie, punct=[x == "." for x in w] if veto else None)
             assert got[i] == (score, [(a, b, k, " ".join(w[a:b])) for a, b, k in segs])
+
+
+def test_ratios_context_and_idf_send_only_sums(spark):
+    """Occurrences, their words and flags were joined and shuffled, many times the input; now their plans deal out sums by gram or word."""
+    texts = ['(new york) "new york"', "a new york-new york", "", "NEW YORK city"]
+    docs = spark.createDataFrame([(3, "\n".join(texts))], "doc_id long, text string")
+    s = annotate.sentences(docs)
+    p = spark.createDataFrame([("new york", 2, 5), ("york city", 2, 1)], "gram string, n int, freq long")
+    r = features.punctuation_ratios(p, s)
+    got = {x.gram: (x.quote, x.dash, x.parenthesis, x.first_cap, x.all_cap) for x in r.collect()}
+    assert got == {"new york": (0.2, 0.0, 0.2, 0.2, 0.2), "york city": (0.0, 0.0, 0.0, 0.0, 0.0)}
+    i = vocab.sentence_idf(s)
+    assert {x.token: (x.df, x.idf) for x in i.collect()} == {x.token: (x.df, x.idf) for x in vocab.idf(annotate.tokens(s)).collect()}
+    c = features.context_outside(p, annotate.texts(docs), i)
+    # of new york four of five places see four of each word, the last only its own; york city sees one of each
+    assert {x.gram: round(x.outside, 9) for x in c.where("outside IS NOT NULL").collect()} == pytest.approx({"new york": 2.4, "york city": 0.0})
+    assert {x.gram: x.outside for x in features.context_outside(p, annotate.texts_of(s), i).collect()} == pytest.approx({x.gram: x.outside for x in c.collect()}, nan_ok=True)
+    for df in (r, c, i):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and not any("sent_id" in x or "pos" in x for x in plan.split("\n") if "Join" in x or "Aggregate" in x)
