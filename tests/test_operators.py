@@ -317,3 +317,22 @@ def test_ratios_context_and_idf_send_only_sums(spark):
     for df in (r, c, i):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and not any("sent_id" in x or "pos" in x for x in plan.split("\n") if "Join" in x or "Aggregate" in x)
+
+
+def test_dependencies_are_those_of_the_columns(spark):
+    from lexloom.plans import train
+
+    rng = random.Random(4)
+    rows = [(i, [rng.choice(["NN", "NNS", "VBD", "IN", "DT", "."]) for _ in range(rng.randint(1, 12))]) for i in range(200)]
+    s = spark.createDataFrame(rows, "sent_id long, tags array<string>")
+    x = train.with_heads(s).withColumn("d", annotate.rule_dependencies(F.col("tags")))
+    assert all([(d.head, d.type) for d in r.d] == list(zip(r.heads, r.types)) for r in x.collect())
+
+
+def test_tuple_paths_of_a_long_sentence():
+    """Ancestors were compared word by word for every pair of mentions: the cube of the length."""
+    tags = ["NN", "IN"] * 700 + ["VBD", "."] * 10
+    heads, types = annotate.dependencies(tags)
+    began = time.process_time()
+    assert len(tuples.paths(heads, types, tags, [(i, i + 1) for i in range(0, 1400, 2)])) == 698
+    assert time.process_time() - began < 10
